@@ -8,20 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tuplewise.llm.common import table
 from tuplewise.llm.decontaminate import decontaminate
+from tuplewise.llm.pieces import encode_decode
 from tuplewise.llm.quality_rules import quality_rules
+from tuplewise.llm.token_counts import token_counts
+
+
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the machine's public tokenizers keep a vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_from", "hit_to")
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, model_path()).drop("text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), model_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_pieces": op4_pieces,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
