@@ -69,7 +69,7 @@ def frequent(texts: DataFrame, model: str, size: int = FREQUENT) -> list[str]:
                     counts = pruned(counts, 8 * size)
         yield _row(TaskContext.get().partitionId(), counts)
 
-    def merged(key, table: pa.Table) -> pa.Table:
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         counts: Counter = Counter()
         for names, numbers in zip(table["stretch"].to_pylist(), table["n"].to_pylist(), strict=True):
             for name, n in zip(names, numbers, strict=True):
