@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tuplewise.llm.common import table
 from tuplewise.llm.decontaminate import decontaminate
+from tuplewise.llm.near_duplicates import near_duplicates
 from tuplewise.llm.pieces import encode_decode
 from tuplewise.llm.quality_rules import quality_rules
+from tuplewise.llm.substring_dedup import substring_dedup
 from tuplewise.llm.token_counts import token_counts
 
 
@@ -37,11 +39,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_pieces": op4_pieces,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
