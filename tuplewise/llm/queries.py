@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplewise.llm.common import table
+from tuplewise.llm.common import shared_folder, table
 from tuplewise.llm.decontaminate import decontaminate
 from tuplewise.llm.near_duplicates import near_duplicates
 from tuplewise.llm.pieces import encode_decode
 from tuplewise.llm.quality_rules import quality_rules
 from tuplewise.llm.substring_dedup import substring_dedup
 from tuplewise.llm.token_counts import token_counts
+from tuplewise.llm.warc import read_warc, write_warc
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -26,6 +27,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_from", "hit_to")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, model_path()).drop("text")
@@ -49,6 +56,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op4_pieces": op4_pieces,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
@@ -86,6 +94,16 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP3_SQL = r"""
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url
+FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first
+  FROM (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op3_warc": OP3_SQL,
 }
