@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tuplewise.llm.common import shared_folder, table
 from tuplewise.llm.decontaminate import decontaminate
+from tuplewise.llm.importance import importance_resample
 from tuplewise.llm.near_duplicates import near_duplicates
 from tuplewise.llm.pieces import encode_decode
 from tuplewise.llm.quality_rules import quality_rules
 from tuplewise.llm.substring_dedup import substring_dedup
 from tuplewise.llm.token_counts import token_counts
+from tuplewise.llm.toxicity import toxicity
 from tuplewise.llm.warc import read_warc, write_warc
 
 
@@ -23,6 +25,10 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_from", "hit_to")
 
@@ -50,17 +56,23 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance": op1_importance,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_pieces": op4_pieces,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
