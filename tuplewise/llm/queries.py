@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tuplewise.llm.common import shared_folder, table
 from tuplewise.llm.decontaminate import decontaminate
@@ -14,6 +15,7 @@ from tuplewise.llm.pieces import encode_decode
 from tuplewise.llm.quality_rules import quality_rules
 from tuplewise.llm.substring_dedup import substring_dedup
 from tuplewise.llm.token_counts import token_counts
+from tuplewise.llm.tool_calls import link_tool_calls
 from tuplewise.llm.toxicity import toxicity
 from tuplewise.llm.warc import read_warc, write_warc
 
@@ -25,6 +27,10 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+REPLY_SCHEMA = """{"type": "object", "required": ["prompt", "turn"], "additionalProperties": false,
+ "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}"""
+
+
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +62,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn as a call that follows the user's turn before, each assistant turn as the result of the turn before it."""
+    turns = table(spark, sf_dir, "conversations")
+    call = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    users = turns.filter("role = 'user'")
+    before = users.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("follows")).distinct()
+    calls = users.join(before, ["conv_id", "turn"], "left").select(
+        "conv_id", call(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"),
+        F.when(F.col("follows"), F.array(call(F.col("turn") - 2))).alias("after"),
+    )
+    results = turns.filter("role = 'assistant'").select("conv_id", call(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    schemas = spark.createDataFrame([("reply", REPLY_SCHEMA)], "name string, schema string")
+    return link_tool_calls(calls, results, schemas)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_tool_calls": op8_tool_calls,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
 }
