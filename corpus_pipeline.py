@@ -1,20 +1,66 @@
-"""A training-corpus pipeline: one operator after another, each over all that the one before kept."""
+"""A training-corpus pipeline: one operator after another, each over all that the one before kept.
+
+Rows keep the columns of documents until the last stage, which adds the token ids.
+A stage that rejects rows joins its verdicts back by row, so repeated ids can't
+multiply rows; one that rewrites texts keeps every row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tuplewise.llm.common import shared_folder, table
+from tuplewise.llm.decontaminate import decontaminate
+from tuplewise.llm.near_duplicates import near_duplicates
+from tuplewise.llm.pieces import encode_decode
+from tuplewise.llm.quality_rules import quality_rules
+from tuplewise.llm.queries import model_path
+from tuplewise.llm.substring_dedup import substring_dedup
+
+
+def _without(docs: DataFrame, verdicts: DataFrame, rejected: str) -> DataFrame:
+    """The rows of ``docs`` but those whose doc_id has a verdict that says ``rejected``; rows of a null id stay."""
+    gone = verdicts.filter(rejected).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, quality_rules(docs), "NOT kept")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs), "NOT kept")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = substring_dedup(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_decode(docs, model_path())
 
-from tuplewise.llm.common import shared_folder
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-ORACLE_SQL: str | None = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("near-duplicates", near),
+    ("substring dedup", substrings),
+    ("decontamination", benchmark),
+    ("encoding", pieces),
+]
+ORACLE_SQL: str | None = None  # SQL has no covariance estimates by concentration, no components and no vocabulary
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written as Parquet and read back for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
