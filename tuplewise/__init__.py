@@ -1 +1,8 @@
 """A relational algebra over Spark DataFrames."""
+
+from tuplewise.functions.predicates import row_function
+from tuplewise.operators import *  # noqa: F403
+from tuplewise.operators import __all__ as _operators
+from tuplewise.relation import DEE, DUM, Relation, is_relation
+
+__all__ = ["DEE", "DUM", "Relation", "is_relation", "row_function", *_operators]
