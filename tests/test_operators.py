@@ -234,3 +234,8 @@ def test_plans_push_filters_and_need_no_python(spark):
     assert "PushedFilters: [" in plan and "l_returnflag" in plan and "Python" not in plan and "l_comment" not in plan
     again = r.project(["l_orderkey"]).df._jdf.queryExecution().optimizedPlan().toString()
     assert again.count("Aggregate") == 1
+
+
+def test_definitions():
+    text = tw.definitions()
+    assert "def left_join(self, other, keys=None)" in text and "def project(" in text
