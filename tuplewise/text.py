@@ -8,13 +8,65 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-# The border styles, in the order top left/centre/right, middle, bottom, horizontal, vertical.
-FIELDS = ("top_left", "top_center", "top_right", "mid_left", "mid_center", "mid_right", "bottom_left", "bottom_center", "bottom_right", "horizontal", "vertical")
-BORDERS = {"ascii": "+++++++++-|", "single": "┌┬┐├┼┤└┴┘─│", "double": "╔╦╗╠╬╣╚╩╝═║", "rounded": "╭┬╮├┼┤╰┴╯─│"}
+# The characters of each border style.
+BORDERS = {
+    "ascii": {
+        "top_left": "+",
+        "top_center": "+",
+        "top_right": "+",
+        "mid_left": "+",
+        "mid_center": "+",
+        "mid_right": "+",
+        "bottom_left": "+",
+        "bottom_center": "+",
+        "bottom_right": "+",
+        "horizontal": "-",
+        "vertical": "|",
+    },
+    "single": {
+        "top_left": "┌",
+        "top_center": "┬",
+        "top_right": "┐",
+        "mid_left": "├",
+        "mid_center": "┼",
+        "mid_right": "┤",
+        "bottom_left": "└",
+        "bottom_center": "┴",
+        "bottom_right": "┘",
+        "horizontal": "─",
+        "vertical": "│",
+    },
+    "double": {
+        "top_left": "╔",
+        "top_center": "╦",
+        "top_right": "╗",
+        "mid_left": "╠",
+        "mid_center": "╬",
+        "mid_right": "╣",
+        "bottom_left": "╚",
+        "bottom_center": "╩",
+        "bottom_right": "╝",
+        "horizontal": "═",
+        "vertical": "║",
+    },
+    "rounded": {
+        "top_left": "╭",
+        "top_center": "┬",
+        "top_right": "╮",
+        "mid_left": "├",
+        "mid_center": "┼",
+        "mid_right": "┤",
+        "bottom_left": "╰",
+        "bottom_center": "┴",
+        "bottom_right": "╯",
+        "horizontal": "─",
+        "vertical": "│",
+    },
+}
 
 
 def border_of(style: str | Mapping[str, str]) -> dict[str, str]:
-    return dict(zip(FIELDS, BORDERS[style], strict=True)) if isinstance(style, str) else dict(style)
+    return BORDERS[style] if isinstance(style, str) else dict(style)
 
 
 def _number(value: Any) -> bool:
