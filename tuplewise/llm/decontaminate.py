@@ -40,6 +40,8 @@ from tuplewise.llm.common import small_batches
 SPAN = 13
 GRAM = 5
 BLOCK_BYTES = 8 << 20
+#: matches that are extended at once
+PAIRS = 1 << 20
 
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_from array<int>, hit_to array<int>"
 
@@ -115,12 +117,19 @@ class Fingerprints:
         low = np.searchsorted(self.prints, found[picked], side="left")
         high = np.searchsorted(self.prints, found[picked], side="right")
         many = high - low
+        if many.sum() <= PAIRS or len(picked) == 1:
+            return self._extended(words, text, picked, low, many)
+        # texts and items of one word over and over match everywhere: by runs of matches that fit in memory
+        cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, int(many.sum()), PAIRS)) + 1
+        parts = [self._extended(words, text, *x) for x in zip(*(np.split(y, np.unique(cuts)) for y in (picked, low, many)), strict=True)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _extended(self, words: np.ndarray, text: np.ndarray, picked: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         doc = np.repeat(picked, many)
         step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         place = self.places[np.repeat(low, many) + step]
         same = text[doc] == text[np.minimum(doc + self.gram - 1, len(text) - 1)] if len(doc) else np.zeros(0, dtype=bool)
         doc, place = doc[same], place[same]
-        # one match for each text, item and diagonal stretch is extended once
         start, end = doc.copy(), doc + self.gram
         self._extend(words, text, start, place, -1)
         self._extend(words, text, end, place + self.gram + (end - doc - self.gram), +1)

@@ -26,6 +26,7 @@ an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from tuplewise.llm.common import id_of, small_batches
 
 HELD_OUT, FOLDS = 2, 4
-SAMPLE = 2000
-GRAM, FLOOR, RATIO = 6, 0.03, 8.0
+SAMPLE = 3000
+GRAM, FLOOR, RATIO = 7, 0.015, 8.0
 WINDOW, OVERLAP = 256, 16
-BASE_BYTES, BASE_WINDOWS = 65536, 2000
+BASE_BYTES, BASE_WINDOW = 112640, 1024
 THRESHOLD = 0.3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,14 +81,20 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def joined_grams(grams: list[tuple[int, int]]) -> bytes:
     """Dictionary content from (packed gram, document frequency): overlapping grams as one run, the most frequent last."""
     left = {g.to_bytes(GRAM, "big"): n for g, n in grams}
+    order = sorted(left, key=lambda g: (-left[g], g))
+    after, before = defaultdict(list), defaultdict(list)
+    for g in order:
+        after[g[:-1]].append(g)
+        before[g[1:]].append(g)
     runs: list[tuple[int, bytes]] = []
-    while left:
-        run, weight = max(left.items(), key=lambda x: (x[1], x[0]))
-        del left[run]
-        while nxt := max((g for g in left if g[:-1] == run[1 - GRAM :]), key=left.get, default=None):
+    for first in order:
+        if first not in left:
+            continue
+        run, weight = first, left.pop(first)
+        while nxt := next((g for g in after[run[1 - GRAM :]] if g in left), None):
             run += nxt[-1:]
             del left[nxt]
-        while nxt := max((g for g in left if g[1:] == run[: GRAM - 1]), key=left.get, default=None):
+        while nxt := next((g for g in before[run[: GRAM - 1]] if g in left), None):
             run = nxt[:1] + run
             del left[nxt]
         runs.append((weight, run))
@@ -150,9 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     telling = (F.col("toxic") >= max(3, FLOOR * n1)) & (F.col("toxic") / n1 >= RATIO * (F.col("ordinary") + 1) / (n0 + 1))
     grams = [(r["gram"], r["toxic"]) for r in counts.filter(telling).collect()]
     # one window of each ordinary text, from a place that the text's hash picks
-    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int")
-    windows = rows.filter("toxic = 0").select(F.substring(F.lower("text"), place + 1, F.lit(2 * WINDOW)).alias("w")).limit(BASE_WINDOWS).collect()
-    samples = sorted((r["w"] or "").encode() for r in windows)
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - BASE_WINDOW, F.lit(1))).cast("int")
+    windows = rows.filter("toxic = 0").select(F.substring("text", place + 1, F.lit(BASE_WINDOW)).alias("w")).collect()
+    samples = sorted(_lowered(r["w"]) for r in windows)
     try:
         base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer
