@@ -1,19 +1,104 @@
+"""The pipeline, stage by stage, against brute force over each stage's own input."""
+
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pytest
+import sentencepiece
+
 import corpus_pipeline
+from tuplewise.llm.queries import model_path
 
+DATA = "/root/testdata/sf0.001"
 
-def test_pipeline(spark):
-    """Each stage by what the operators' own tests establish: rows only go, columns stay, and decoded ids give the texts."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    seen = [docs]
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    seen = [spark.read.parquet(f"{DATA}/documents.parquet")]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = f"{spark.conf.get('spark.sql.warehouse.dir')}/pipeline_test/{k}"
-        stage(spark, seen[-1], "/root/testdata/sf0.001").write.mode("overwrite").parquet(path)
+        stage(spark, seen[-1], DATA).write.mode("overwrite").parquet(path)
         seen.append(spark.read.parquet(path))
-    counts = [d.count() for d in seen]
+    return seen
+
+
+def rows(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def space_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_columns_and_rows(stages):
+    docs, *_, last = stages
+    counts = [d.count() for d in stages]
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.6 * counts[0] and counts[2] == counts[3]
-    assert all(d.columns == docs.columns for d in seen[:-1]) and seen[-1].columns == [*docs.columns, "ids", "n_tokens", "round_trip"]
-    assert seen[-1].filter("NOT round_trip").count() == 0
-    ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
-    assert ids(seen[-1]) <= ids(seen[1]) <= ids(docs)
+    assert all(d.columns == docs.columns for d in stages[:-1]) and last.columns == [*docs.columns, "ids", "n_tokens", "round_trip"]
+
+
+def test_quality_rules(stages):
+    before, after = rows(stages[0]), rows(stages[1])
+    for i, r in before.items():
+        w = space_words(r.text)
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        twice = {j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        if len(w) < 10 or 100 * len(twice) > 20 * len(w):
+            assert i not in after
+    assert all(after[i] == before[i] for i in after)
+
+
+def test_near_duplicates(stages):
+    before, after = rows(stages[1]), rows(stages[2])
+    sets = {}
+    for i, r in before.items():
+        w = space_words(low(r.text))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * (n := len(sets[i] & sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    assert set(after) == {i for i in sets if find(i) == i} and all(after[i] == before[i] for i in after)
+
+
+def test_substrings(stages):
+    before, after = rows(stages[2]), rows(stages[3])
+    for i, r in after.items():
+        kept, left = space_words(r.text), iter(space_words(before[i].text))
+        assert all(w in left for w in kept) and r.n_chars == len(r.text)  # what stays is in order
+
+
+def test_decontamination(spark, stages):
+    before, after = rows(stages[3]), rows(stages[4])
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        w = pattern.findall(low(r.text))
+        n = min(13, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    for i, r in before.items():
+        w, hit = pattern.findall(low(r.text)), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        assert (i in after) == (not (hit and 20 * len(hit) >= len(w)))
+
+
+def test_encoding(stages):
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    assert all(r.ids == library.encode(r.text or "") and r.round_trip for r in stages[5].collect())
