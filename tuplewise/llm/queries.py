@@ -75,7 +75,7 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     results = turns.filter("role = 'assistant'").select("conv_id", call(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = spark.createDataFrame([("reply", REPLY_SCHEMA)], "name string, schema string")
-    return link_tool_calls(calls, results, schemas)
+    return link_tool_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", "; "))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,51 @@ FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first
   FROM (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages))
 """
 
+OP8_SQL = """
+WITH call AS (
+  SELECT CAST(u.conv_id AS VARCHAR) AS conv_id, 'call_' || u.turn AS call_id, u.turn, u.text, p.turn IS NOT NULL AS follows
+  FROM conversations u LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user') p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2
+  WHERE u.role = 'user'
+), answer AS (
+  SELECT CAST(conv_id AS VARCHAR) AS conv_id, 'call_' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'
+), linked AS (
+  SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, coalesce(c.turn, a.turn) AS turn, c.turn IS NOT NULL AS called,
+    CASE WHEN c.turn IS NULL THEN 'no call' WHEN a.turn IS NULL THEN 'no result' ELSE 'linked' END AS status,
+    CASE WHEN c.follows THEN '["call_' || (c.turn - 2) || '"]' ELSE '[]' END AS after,
+    CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '}' END AS arguments,
+    coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') AS result
+  FROM call c FULL JOIN answer a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+)
+SELECT conv_id, call_id, CAST(0 AS INTEGER) AS level, turn, status, called AS valid, '' AS errors,
+  '{"after":' || after || ',"arguments":' || arguments || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END
+    || ',"result":' || result || ',"status":"' || status || '"}' AS json
+FROM linked
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM doc WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT a, b FROM pair JOIN size sa ON a = sa.doc_id JOIN size sb ON b = sb.doc_id WHERE 100 * pair.n >= 75 * (sa.n + sb.n - pair.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT doc.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, c.component_id, doc.doc_id = c.component_id AS kept
+FROM doc JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = doc.doc_id LEFT JOIN size ON size.doc_id = doc.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op8_tool_calls": OP8_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }
