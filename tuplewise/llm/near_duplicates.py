@@ -57,7 +57,7 @@ BIN_BITS = 7  # 2**7 bins = BANDS * ROWS
 SHINGLE = 5
 PERCENT = 75
 #: centres by round of an ordinary bucket, and of a crowded one of mostly one component; the last pair holds for all further rounds
-CENTRES = ((1, 1), (1, 16), (2, 2), (4, 4), (16, 16))
+CENTRES = ((1, 1), (1, 4), (2, 2), (4, 4), (16, 16))
 #: members a side of a block of a crowded bucket of mostly one component
 BLOCK = 256
 #: members of an unsettled bucket from which on it is refined, after the first rounds
