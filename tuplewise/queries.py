@@ -95,6 +95,10 @@ _query("join_keys_array", "SELECT s_suppkey, c_custkey, k FROM (SELECT s_suppkey
     lambda t: t("supplier").restrict(lambda r: r.s_suppkey <= 20).project(["s_suppkey", "s_nationkey"]).rename({"s_nationkey": "k"})
     .join(t("customer").project(["c_custkey", "c_nationkey"]).rename({"c_nationkey": "k"}), ["k"])
 )
+_query("join_keys_array_whole", "SELECT s_suppkey, c_custkey, k FROM (SELECT s_suppkey, s_nationkey AS k FROM supplier) JOIN (SELECT c_custkey, c_nationkey AS k FROM customer) USING (k)")(
+    lambda t: t("supplier").project(["s_suppkey", "s_nationkey"]).rename({"s_nationkey": "k"})
+    .join(t("customer").project(["c_custkey", "c_nationkey"]).rename({"c_nationkey": "k"}), ["k"])
+)
 _query("join_keys_object", "SELECT o.*, c_name, c_nationkey, c_acctbal, c_mktsegment FROM orders o JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey")(
     lambda t: t("orders").join(t("customer"), {"o_custkey": "c_custkey"})
 )
