@@ -1,9 +1,13 @@
 """Removal of repeated text by hashing units of lines and paragraphs.
 
 Units.  A line falls into units: runs of words that end at the line's end, at a
-sentence's end, or after a word whose hash and its predecessor's say so (one pair in
-``ONE_IN``).  Ends depend on the words around them only, so a passage that starts in
-the middle of a line elsewhere is cut alike there, save for its first few words.
+sentence's end, or after the word whose hash, taken with its predecessor's, is the
+least of ``WINDOW`` in a row (a sentence's end is less than any hash; of equals, the
+last counts).  Every window that two lines share gives both the same end, so a
+passage within lines is cut alike wherever it stands, save for its first
+``WINDOW + 1`` and its last ``WINDOW`` words at most.  Of any 2 * WINDOW + 1 +
+RUN_WORDS = 50 shared words, broken into lines alike, whole units thus make up
+``RUN_WORDS`` in a row: no such passage is left whole.
 Units are normalised: A-Z lower-cased, white space between words disregarded.
 
 Rank.  The earliest occurrence of a unit is the one in the document of the smallest
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from tuplewise.llm import kernel
 from tuplewise.llm.common import cut, small_batches
 
-ONE_IN = 16
+WINDOW = 12
 RUN_WORDS = 25
 LINE_WORDS = 4
 
@@ -50,6 +54,20 @@ _ENDS[list(b".!?")] = True
 _ODD = _U(0x9E3779B97F4A7C15)
 
 
+def _least(value: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The words of the least value (of equals the last) of each ``WINDOW`` that lies in one line, the line's first word left out."""
+    n = len(value)
+    if n <= WINDOW:
+        return np.zeros(0, dtype=np.int64)
+    best, at, size = value, np.arange(n), 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        right = best[step:] <= best[:-step]
+        best, at = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
+    return at[1:][line[: n - WINDOW] == line[WINDOW:]]
+
+
 class Units:
     """The units of a run of texts: first and last word, digest, size, and whether a line ends with the unit."""
 
@@ -64,10 +82,9 @@ class Units:
         if n:
             new_line[:-1] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
         pair = kernel.mix(h * _ODD + np.r_[np.zeros(min(n, 1), dtype=_U), h[:-1]]) if n else h
-        inside = np.zeros(n, dtype=bool)
-        if n:  # the first word of a line has no predecessor there
-            inside[1:] = ~new_line[:-1]
-        ends = new_line | _ENDS[last_byte] | (inside & (pair % _U(ONE_IN) == 0))
+        marked = _ENDS[last_byte]
+        ends = new_line | marked
+        ends[_least(np.where(marked, _U(0), pair | _U(1)), np.cumsum(np.r_[0, new_line[:-1]]) if n else line)] = True
         self.to = np.flatnonzero(ends) + 1
         self.at = np.r_[0, self.to[:-1]] if n else self.to
         powers = np.cumprod(np.r_[_U(1), np.full(int((self.to - self.at).max(initial=1)), _ODD, dtype=_U)])
