@@ -23,11 +23,14 @@ until none is left.  Two kinds of crowded buckets would need many rounds:
   for each opposite block, tested in the block's task, and only links that join
   components come out.
 * Those of members that share little but a passage.  They are refined: members meet
-  again in buckets of two bands, later of three.  At the threshold a pair that
-  shares one band shares no other with probability 8e-6.
-
-So no pair of a bucket that could join two components goes untested, without a cap
-on partners or candidates, and rows between steps follow members, not pairs.
+  again in buckets of two bands, later of three.  A pair that shares fewer bands
+  than that is dropped untested: at the threshold, where all the buckets a pair
+  shares are refined, with probability 7.7e-5 (one shared band) by the first step,
+  and with 5.5e-4 more (two) by the second.
+
+So no pair that could join two components goes untested in buckets that aren't
+refined, without a cap on partners or candidates, and rows between steps follow
+members, not pairs.
 
 All state between rounds is a table in the shared folder; only row counts reach
 the driver.  Hot buckets and classes meet tables that are unique in the key, so
