@@ -126,9 +126,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     small_batches(calls.sparkSession)
     ids = ["conv_id", "call_id"]
     named = lambda df: df.withColumns({c: F.col(c).cast("string") for c in ids} | {"turn": F.col("turn").cast("long")})
-    first = named(calls).groupBy(*ids).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
+    # a row with a null id is a group of its own
+    apart = lambda df: df.withColumn("_own", F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.monotonically_increasing_id()))
+    first = apart(named(calls)).groupBy(*ids, "_own").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
     first = cut(first.select(*ids, "c.*", F.lit(True).alias("called")))
-    answer = named(results).groupBy(*ids).agg(F.min(F.struct("turn", "content")).alias("r"))
+    answer = apart(named(results)).groupBy(*ids, "_own").agg(F.min(F.struct("turn", "content")).alias("r"))
     answer = answer.select(*ids, F.col("r.content").alias("result"), F.col("r.turn").alias("result_turn"), F.lit(True).alias("answered"))
 
     edges = first.select(*ids, "turn", F.explode(F.array_distinct("after")).alias("dep"))
