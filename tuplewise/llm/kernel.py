@@ -2,10 +2,11 @@
 
 All text operators of this subpackage that need words, word n-grams or shingle
 sets use this one kernel.  It works on the raw UTF-8 buffer of an Arrow column:
-word boundaries come from a 256-entry byte table, and the hash of every word is
-a difference of two entries of a prefix polynomial (mod 2**64), so no Python
-string is created per word.  Word classes used here treat every byte >= 0x80
-alike, which makes byte-level splitting agree with code-point-level splitting.
+word boundaries come from a 256-entry byte table, and a word is hashed by its blocks
+of eight bytes: each is mixed with its position before they are added up, so sums
+of different words don't meet by their structure, as those of a polynomial mod 2**64
+do.  No Python string is created per word.  Word classes used here treat every byte
+>= 0x80 alike, which makes byte-level splitting agree with code-point-level splitting.
 
 Work is done in slices of at most ``SLICE_BYTES`` bytes of text (a longer single
 text forms its own slice), so memory follows the slice and not the Arrow batch.
@@ -22,7 +23,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)  # odd, hence invertible mod 2**64
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,36 +49,26 @@ SPACE_WORDS = _table(b"\x20\x09\x0a\x0b\x0c\x0d")
 ALNUM_WORDS = _table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-@lru_cache(maxsize=4)
-def _values(lower: bool) -> np.ndarray:
-    """A pseudo-random 64-bit value for each byte; with ``lower``, A-Z share a-z's."""
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+#: the low bytes of a block that belong to a word of which so many are left
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand up to a slice."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=U64)
-        self.down = np.ones(1, dtype=U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
-            inverse = U64(pow(int(_BASE), -1, 1 << 64))
-            up, down = (np.full(size, b, dtype=U64) for b in (_BASE, inverse))
-            up[0] = down[0] = 1
-            pair = np.cumprod(up), np.cumprod(down)
-            if n > SLICE_BYTES + 1:
-                return pair  # one very long text: not kept
-            self.up, self.down = pair
-        return self.up, self.down
-
-
-_powers = _Powers()
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each run ``data[start:start + size]`` of at least one byte."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    block = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    total = mix((block[start] & _LEFT[np.minimum(size, 8)]) + _STEP)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        left = np.minimum(np.repeat(size[long], more) - 8 * k, 8)
+        values = block[np.repeat(start[long], more) + 8 * k] & _LEFT[left]
+        total[long] += np.add.reduceat(mix(mix(values + _STEP) + (k + 1).astype(U64) * _STEP), first)
+    return mix(total + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 class Words:
@@ -103,10 +94,7 @@ class Words:
             closes[:-1] &= ~inside[1:] | breaks[1:n]
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
-        up, down = _powers.get(n + 1)
-        prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_values(lower)[data] * up[:n], out=prefix[1:])
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        self.hash = _hashes(_LOWERED[data] if lower else data, self.start, self.end - self.start)
         self.first = np.searchsorted(self.start, offsets)
 
 

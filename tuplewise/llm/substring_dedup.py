@@ -87,9 +87,8 @@ class Units:
         ends[_least(np.where(marked, _U(0), pair | _U(1)), np.cumsum(np.r_[0, new_line[:-1]]) if n else line)] = True
         self.to = np.flatnonzero(ends) + 1
         self.at = np.r_[0, self.to[:-1]] if n else self.to
-        powers = np.cumprod(np.r_[_U(1), np.full(int((self.to - self.at).max(initial=1)), _ODD, dtype=_U)])
         step = np.arange(n) - np.repeat(self.at, self.to - self.at)
-        sums = np.add.reduceat(h * powers[step], self.at) if n else h
+        sums = np.add.reduceat(kernel.mix(h + (step + 1).astype(_U) * _ODD), self.at) if n else h
         self.digest = kernel.mix(sums + (self.to - self.at).astype(_U)).view(np.int64)
         self.size = self.to - self.at
         self.line_end = new_line[self.to - 1]
