@@ -205,7 +205,6 @@ def test_near_duplicates(spark, corpus, monkeypatch):
             smallest[find(i)] = min(d, smallest.get(find(i), d))
     want = [(d, len(a), smallest.get(find(i)) if a else d) for i, (d, a) in enumerate(sets)]
     monkeypatch.setattr(near, "CROWDED", 8)
-    monkeypatch.setattr(near, "BLOCK", 16)
     got = near.near_duplicates(corpus.unionByName(more)).collect()
     assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, want))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)

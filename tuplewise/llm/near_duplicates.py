@@ -14,28 +14,28 @@ Bounded pairs.  Equal sets first fold into one class, so copies make no pairs.
 Then each bucket gets star-shaped candidate edges: from a centre to each member
 that isn't known to be in the centre's component.  Edges are confirmed on the full
 sets and components joined.  A centre has then met the whole bucket and leaves it;
-buckets that still hold more than one component go another round with new centres,
-until none is left.  Two kinds of crowded buckets would need many rounds:
-
-* Those that mostly hold one component, as a family of near copies does.  After a
-  round of centres from the component, the members outside it meet the component
-  and each other in blocks of about ``BLOCK`` members a side: a member is sent once
-  for each opposite block, tested in the block's task, and only links that join
-  components come out.
-* Those of members that share little but a passage.  They are refined: members meet
-  again in buckets of two bands, later of three.  A pair that shares fewer bands
-  than that is dropped untested: at the threshold, where all the buckets a pair
-  shares are refined, with probability 7.7e-5 (one shared band) by the first step,
-  and with 5.5e-4 more (two) by the second.
-
-So no pair that could join two components goes untested in buckets that aren't
-refined, without a cap on partners or candidates, and rows between steps follow
-members, not pairs.
+buckets that still hold more than one component go another round, with four times
+the centres, until none is left: rounds follow the logarithm of a bucket's size.
+
+After two rounds, buckets of over ``CROWDED`` members that still aren't settled are
+those of texts around one template, or of a family of near copies and its
+neighbours.  Their members meet again by prefix filtering, which is exact: shingles
+are ordered from rare to frequent, and of two linked texts the smaller one has one of
+its first n - 6n/7 + 1 shingles among the first m - 3m/4 + 1 of the larger one.  What
+a template repeats is frequent and so last in order; its pages meet only if they
+share what is their own.  The order comes from a count of fixed size (``COUNT_BITS``);
+it decides how many candidates there are, not which links are found.
+
+So no candidate pair that could join two components goes untested, without a cap on
+partners or candidates, and rows between steps follow members, not pairs.
 
 All state between rounds is a table in the shared folder; only row counts reach
 the driver.  Hot buckets and classes meet tables that are unique in the key, so
 skewed sides split; minima combine map-side.
 
+Texts are found again by doc_id and a hash of the text, so tables in which many rows
+have no doc_id, or all have one, cost no more than others.
+
 Defined results: a null text is empty; rows with a null doc_id take part, but give
 no component its id, and are kept only if their component has no other id;
 repeated rows share class and verdict; extra columns are ignored by
@@ -59,12 +59,12 @@ BANDS, ROWS = 32, 4
 BIN_BITS = 7  # 2**7 bins = BANDS * ROWS
 SHINGLE = 5
 PERCENT = 75
-#: centres by round of an ordinary bucket, and of a crowded one of mostly one component; the last pair holds for all further rounds
-CENTRES = ((1, 1), (1, 4), (2, 2), (4, 4), (16, 16))
-#: members a side of a block of a crowded bucket of mostly one component
-BLOCK = 256
-#: members of an unsettled bucket from which on it is refined, after the first rounds
-CROWDED, REFINED = 32, 2
+#: centres of a bucket in the first two rounds: of an ordinary bucket, and of a crowded one of mostly one component
+CENTRES = ((1, 1), (1, 4))
+#: members of an unsettled bucket from which on they meet by prefix filtering, after the first rounds
+CROWDED = 32
+#: shingles are counted in 2**COUNT_BITS cells
+COUNT_BITS = 18
 #: classes whose sets are fetched by a broadcast of their ids; more are joined by shuffle
 BROADCAST_ROWS = 200_000
 
@@ -118,16 +118,20 @@ def _sets(texts) -> Iterator[np.ndarray]:
             yield kernel.shingle_set(got.hash[got.first[i] : got.first[i + 1]], SHINGLE)
 
 
+def _listed(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*rows, np.zeros(0, dtype=_U)]).view(np.int64)))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes, rows = [], [], []
-        for shingles in _sets(batch.column(1)):
+        for shingles in _sets(batch.column(2)):
             sizes.append(len(shingles))
             nodes.append(set_digest(shingles) if len(shingles) else None)
             rows.append(bands(signature(shingles)) if len(shingles) else np.zeros(0, dtype=_U))
-        offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32())
-        listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*rows, np.zeros(0, dtype=_U)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), listed], names=["doc_id", "n_shingles", "node", "bands"])
+        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _listed(rows)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +141,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(shingles) and set_digest(shingles) == wanted:
                 nodes.append(wanted)
                 sets.append(shingles)
-        offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32())
-        listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*sets, np.zeros(0, dtype=_U)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), listed], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _listed(sets)], names=["node", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,115 +171,89 @@ def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def _tested(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links of one block: of each outside member with the other side, one for each pair of components at most."""
-    nodes, comps = table["node"].to_pylist(), table["comp"].to_pylist()
-    asks, answers = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("asks", "answers"))
-    lists = table["shingles"].combine_chunks()
-    flat, at = lists.values.to_numpy().view(_U), lists.offsets.to_numpy().astype(np.int64)
-    sets = [flat[at[i] : at[i + 1]] for i in range(len(nodes))]
-    sizes = np.diff(at)
-    other = np.concatenate([sets[i] for i in answers]) if len(answers) else flat[:0]
-    ends = np.r_[0, np.cumsum(sizes[answers])]
-    top: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while (up := top.get(c, c)) != c:
-            c = up
-        return c
-
-    a, b = [], []
-    for x in asks.tolist():
-        place = np.searchsorted(sets[x], other)
-        same = sets[x][np.minimum(place, sizes[x] - 1)] == other
-        common = np.diff(np.r_[0, np.cumsum(same)][ends])
-        good = 100 * common >= PERCENT * (sizes[x] + sizes[answers] - common)
-        for y in answers[good].tolist():
-            p, q = find(comps[x]), find(comps[y])
-            if p != q:
-                top[p] = q
-                a.append(nodes[x])
-                b.append(nodes[y])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _blocks(now: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that settle the crowded buckets of ``now`` (bucket, node, comp, m) of mostly one component."""
-    main = now.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("x")).select("bucket", F.col("x.comp").alias("main"))
-    outside = cut(now.join(main, "bucket").filter("comp != main").select("main", "node", "comp").distinct())
-    inside = labels.join(outside.select(F.col("main").alias("comp")).distinct(), "comp", "left_semi").select(F.col("comp").alias("main"), "node", "comp")
-    count = lambda df, name: df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    sides = cut(count(outside, "xs").join(count(inside, "cs"), "main", "left").fillna(0, ["cs"]))
-    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    key = lambda i, kind, j, asks, answers: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"), asks.alias("asks"), answers.alias("answers"))
-    yes, no = F.lit(True), F.lit(False)
-    x = outside.join(sides, "main").withColumn("own", spot("xs"))
-    asking = F.concat(
-        F.transform(numbers("cs"), lambda j: key(F.col("own"), "c", j, yes, no)),
-        # of two blocks of outsiders the lower one asks; a block asks itself
-        F.transform(numbers("xs"), lambda j: key(F.least("own", j), "x", F.greatest("own", j), F.col("own") <= j, F.col("own") >= j)),
-    )
-    c = inside.join(sides, "main").withColumn("own", spot("cs"))
-    answering = F.transform(numbers("xs"), lambda i: key(i, "c", F.col("own"), no, yes))
-    rows = x.select("main", "node", "comp", F.explode(asking).alias("k")).union(c.select("main", "node", "comp", F.explode(answering).alias("k")))
-    rows = rows.join(sets, "node").select("main", "k.*", "node", "comp", "shingles")
-    return rows.groupBy("main", "i", "kind", "j").applyInArrow(_tested, "a long, b long")
-
-
-def _refined(members: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
-    """``members`` with crowded buckets, save those of one large component, replaced by buckets of one band more."""
-    comp = F.col("node") if labels is None else F.coalesce("comp", "node")
-    seen = cut((members if labels is None else members.join(labels, "node", "left")).withColumn("comp", comp))
-    parts = seen.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    sizes = parts.groupBy("bucket").agg(F.sum("m").alias("size"), F.max("m").alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    crowded = (F.col("size") > CROWDED) & (2 * F.col("most") < F.col("size"))
-    sized = cut(seen.drop("comp").join(sizes.select("bucket", crowded.alias("crowded")), "bucket"))
-    more = sized.filter("crowded").join(classes.select("node", F.explode("bands").alias("band")), "node").filter(~F.array_contains("used", F.col("band")))
-    more = more.withColumn("used", F.array_sort(F.array_append("used", F.col("band")))).withColumn("bucket", F.xxhash64("used"))
-    more = more.select("bucket", "node", "n", "used").dropDuplicates(["bucket", "node"])
-    return sized.filter("not crowded").select("bucket", "node", "n", "used").union(more)
-
-
-def _linked(members: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """(node, comp) of the nodes that have links, from bucket members (bucket, node, n)."""
+def _prefixes(counts):
+    """A task's function: the first shingles of each set, from rare to frequent, as buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = counts.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, at = lists.values.to_numpy().view(_U), lists.offsets.to_numpy().astype(np.int64)
+            size = np.diff(at)
+            probe, index = size - (3 * size + 3) // 4 + 1, size - (6 * size + 6) // 7 + 1
+            found = [np.zeros(0, dtype=_U)]
+            for i, n in enumerate(probe.tolist()):
+                own = flat[at[i] : at[i + 1]]  # sorted already, so equal counts keep that order
+                found.append(own[np.argsort(frequency[own >> _U(64 - COUNT_BITS)], kind="stable")[:n]])
+            rank = np.arange(int(probe.sum())) - np.repeat(np.cumsum(probe) - probe, probe)
+            columns = [
+                pa.array(kernel.mix(np.concatenate(found) + _U(PERCENT)).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), probe))),
+                pa.array(np.repeat(size, probe), pa.int64()), pa.array(rank < np.repeat(index, probe)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "n", "first"])
+
+    return run
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """The ``members`` (bucket, node, n, first) of buckets in which two could meet."""
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max("first").alias("any")).filter("k > 1 AND any").select("bucket")
+    return members.join(shared, "bucket", "left_semi")
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Bucket members (bucket, node, n, first) by which all linked pairs of ``nodes`` meet; ``first``: as the smaller one of a pair."""
+    chosen = cut(sets.join(nodes, "node", "left_semi"))
+    cells = chosen.select(F.explode("shingles").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    table = cells.toArrow()  # at most 2**COUNT_BITS rows
+    counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    small = counts.astype(np.int32) if counts.max() < 1 << 31 else counts
+    shared = nodes.sparkSession.sparkContext.broadcast(small)
+    return _shared(cut(chosen.mapInArrow(_prefixes(shared), "bucket long, node long, n long, first boolean")))
+
+
+def _linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, comp) of the nodes that have links, from bucket members (bucket, node, n, first)."""
     labels: DataFrame | None = None
     tested: DataFrame | None = None
-    members = members.withColumn("used", F.array("bucket"))
     turn = 0
     while True:
         now = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = cut(now)
         # sizes of the components within each bucket; buckets with one component are settled
-        parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-        sizes = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("size"), F.max("m").alias("most")).filter("k > 1")
-        mostly_one = (F.col("size") > CROWDED) & (2 * F.col("most") >= F.col("size"))
-        parts = parts.join(sizes.select("bucket", mostly_one.alias("mostly_one")), "bucket")
-        now = cut(now.join(parts, ["bucket", "comp"]))
-        found = None
-        if turn > 1 and labels is not None and now.filter("mostly_one").limit(1).count():
-            found = cut(_blocks(now.filter("mostly_one"), labels, sets))
-            now = now.filter("not mostly_one")
-        few, many = CENTRES[min(turn, len(CENTRES) - 1)]
+        parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("first").alias("any"))
+        sizes = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("most"), F.max("any").alias("any")).filter("k > 1 AND any")
+        crowded = F.col("size") > CROWDED
+        sizes = sizes.select("bucket", crowded.alias("crowded"), (crowded & (2 * F.col("most.m") >= F.col("size"))).alias("mostly_one"), F.col("most.comp").alias("main"))
+        now = cut(now.join(parts.drop("any").join(sizes, "bucket"), ["bucket", "comp"]))
+        if turn == len(CENTRES):
+            turn += 1
+            crowd = cut(now.filter("crowded").select("node").distinct())
+            if crowd.limit(1).count():
+                members = now.filter("not crowded").select("bucket", "node", "n", "first").unionByName(_by_prefix(crowd, sets))
+                continue
+        few, many = CENTRES[turn] if turn < len(CENTRES) else (4 ** (turn - len(CENTRES)),) * 2
         slots = F.when(F.col("mostly_one"), many).otherwise(few)
-        order = F.when(F.col("mostly_one"), -F.col("m")).otherwise(F.col("m")) if turn == 1 else F.col("m")
-        rank = F.struct(order.alias("m"), F.xxhash64("node").alias("h"), "node", "n", "comp")
+        in_main = F.col("mostly_one") & (F.col("comp") == F.col("main"))
+        # small components first, members outside a main one too; just the second round looks from the main one
+        order = F.when(F.col("mostly_one"), -F.col("m")).otherwise(F.col("m")) if turn == 1 else F.when(in_main, 1 << 62).otherwise(F.col("m"))
+        rank = F.struct(order.alias("m"), F.xxhash64("node").alias("h"), "node", "n", "comp", "first")
         centres = now.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), slots).alias("slot")).agg(F.min(rank).alias("c"))
-        centres = cut(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.comp").alias("centre_comp")))
-        if found is None and not centres.limit(1).count():
+        centres = cut(centres.select("bucket", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "comp", "first")]))
+        if not centres.limit(1).count():
             return labels
-        met = now.join(centres, "bucket").filter(F.col("comp") != F.col("centre_comp"))
-        met = met.filter(100 * F.least("n", "centre_n") >= PERCENT * F.greatest("n", "centre_n"))
-        edges = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        met = now.join(centres, "bucket").filter(F.col("comp") != F.col("c_comp"))
+        met = met.filter(100 * F.least("n", "c_n") >= PERCENT * F.greatest("n", "c_n"))
+        smaller = F.struct(F.col("n").alias("n"), F.col("node").alias("x")) < F.struct(F.col("c_n").alias("n"), F.col("c_node").alias("x"))
+        met = met.filter(F.when(smaller, F.col("first")).otherwise(F.col("c_first")))
+        edges = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
         edges = cut(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
         tested = edges if tested is None else tested.union(edges)
-        links = _confirmed(edges, sets)
-        links = cut(links if found is None else links.union(found))
+        links = cut(_confirmed(edges, sets))
         if links.limit(1).count():
             labels = _relabelled(labels, links)
-        members = now.select("bucket", "node", "n", "used").join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        if turn < REFINED:
-            members = _refined(members, labels, classes)
+        members = now.select("bucket", "node", "n", "first").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         turn += 1
 
 
@@ -299,19 +275,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_sketches, "doc_id long, n_shingles long, node long, bands array<long>"))
-    classes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
-    members = cut(buckets.join(shared, "bucket", "left_semi").select("bucket", "node", "n"))
-
-    wanted = cut(classes.select("node", "rep").join(members.select("node").distinct(), "node"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = cut(texts.mapInArrow(_sketches, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
+    classes = rows.filter("n_shingles > 0").groupBy("node").agg(rep.alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "bands"))
+    buckets = classes.select(F.explode("bands").alias("bucket"), "node", "n", F.lit(True).alias("first"))
+    members = cut(_shared(buckets))
+
+    wanted = cut(classes.select("node", "rep", "rep_hash").join(members.select("node").distinct(), "node"))
     few = wanted.count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(wanted) if few else wanted, texts.doc_id.eqNullSafe(wanted.rep))
+    found = texts.join(F.broadcast(wanted) if few else wanted, (texts.text_hash == wanted.rep_hash) & texts.doc_id.eqNullSafe(wanted.rep))
     sets = found.select("node", "text").mapInArrow(_full_sets, "node long, shingles array<long>")
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
-    labels = _linked(members, sets, classes)
+    labels = _linked(members, sets)
     named = classes.select("node", "rep")
     named = named.withColumn("comp", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
