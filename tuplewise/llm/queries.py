@@ -28,7 +28,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 REPLY_SCHEMA = """{"type": "object", "required": ["prompt", "turn"], "additionalProperties": false,
- "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}"""
+ "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 250}, "turn": {"type": "integer", "minimum": 0}}}"""
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,17 +63,31 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn as a call that follows the user's turn before, each assistant turn as the result of the turn before it."""
+    """Each user turn as a call, each assistant turn as the result of the turn before it.
+
+    A call follows the user's turn before (two turns back); in every fourth
+    conversation it waits for the next one instead, in another fourth the first two
+    wait for each other, and in the last a third call on waits for one that doesn't
+    exist too.  Long prompts break the schema, some turns call a tool without one, and
+    some first turns have broken JSON.
+    """
     turns = table(spark, sf_dir, "conversations")
     call = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
-    users = turns.filter("role = 'user'")
-    before = users.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("follows")).distinct()
-    calls = users.join(before, ["conv_id", "turn"], "left").select(
-        "conv_id", call(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"),
-        F.when(F.col("follows"), F.array(call(F.col("turn") - 2))).alias("after"),
+    turn, kind = F.col("turn"), F.col("conv_id") % 4
+    before = F.when(turn >= 2, call(turn - 2))
+    after = (
+        F.when(kind == 1, F.array(call(turn + 2)))
+        .when(kind == 2, F.array(F.when(turn < 2, call(turn + 2)).otherwise(call(turn - 2))))
+        .when((kind == 3) & (turn >= 4), F.array(before, F.lit("call_99")))
+        .otherwise(F.array(before))
+    )
+    arguments = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("prompt")))
+    broken = (F.col("conv_id") % 5 == 4) & (turn < 2)
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", call(turn).alias("call_id"), "turn", F.when(turn % 6 == 4, "search").otherwise("reply").alias("name"),
+        F.when(broken, F.concat(arguments, F.lit("}"))).otherwise(arguments).alias("arguments"), after.alias("after"),
     )
-    results = turns.filter("role = 'assistant'").select("conv_id", call(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.filter("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = spark.createDataFrame([("reply", REPLY_SCHEMA)], "name string, schema string")
     return link_tool_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", "; "))
 
@@ -139,22 +153,45 @@ FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first
 """
 
 OP8_SQL = """
-WITH call AS (
-  SELECT CAST(u.conv_id AS VARCHAR) AS conv_id, 'call_' || u.turn AS call_id, u.turn, u.text, p.turn IS NOT NULL AS follows
-  FROM conversations u LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user') p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2
-  WHERE u.role = 'user'
+WITH RECURSIVE call AS (
+  SELECT conv_id, turn, 'call_' || turn AS id, text, CASE WHEN turn % 6 = 4 THEN 'search' ELSE 'reply' END AS name, conv_id % 5 = 4 AND turn < 2 AS broken,
+    CASE WHEN conv_id % 4 = 1 OR conv_id % 4 = 2 AND turn < 2 THEN 'call_' || (turn + 2) WHEN turn >= 2 THEN 'call_' || (turn - 2) END AS dep,
+    CASE WHEN conv_id % 4 = 3 AND turn >= 4 THEN 'call_99' END AS more
+  FROM conversations WHERE role = 'user'
 ), answer AS (
-  SELECT CAST(conv_id AS VARCHAR) AS conv_id, 'call_' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'
+  SELECT conv_id, 'call_' || (turn - 1) AS id, turn, text FROM conversations WHERE role = 'assistant'
+), edge AS (
+  SELECT a.conv_id, a.id, a.dep FROM call a JOIN call b ON b.conv_id = a.conv_id AND b.id = a.dep
+), reach AS (
+  SELECT conv_id, id, dep FROM edge
+  UNION
+  SELECT reach.conv_id, reach.id, edge.dep FROM reach JOIN edge ON edge.conv_id = reach.conv_id AND edge.id = reach.dep
+), cyclic AS (
+  SELECT DISTINCT a.conv_id, a.id FROM reach a JOIN reach b ON b.conv_id = a.conv_id AND b.id = a.dep AND b.dep = a.dep
+), path AS (
+  SELECT conv_id, id, 0 AS n FROM call
+  UNION
+  SELECT edge.conv_id, edge.id, n + 1 FROM path JOIN edge ON edge.conv_id = path.conv_id AND edge.dep = path.id WHERE n < 1000
+    AND NOT EXISTS (SELECT 1 FROM cyclic c WHERE c.conv_id = edge.conv_id AND c.id = edge.id)
+), level AS (
+  SELECT conv_id, id, max(n) AS level FROM path GROUP BY conv_id, id
+), judged AS (
+  SELECT call.*, CASE WHEN y.id IS NULL THEN level END AS level, concat_ws('; ',
+      CASE WHEN dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM call b WHERE b.conv_id = call.conv_id AND b.id = call.dep) THEN 'no such dependency: ' || dep END,
+      CASE WHEN more IS NOT NULL THEN 'no such dependency: ' || more END, CASE WHEN y.id IS NOT NULL THEN 'waits on a cycle' END,
+      CASE WHEN broken THEN '$: broken JSON' WHEN name = 'search' THEN 'no such tool' WHEN text IS NULL THEN '$.prompt: missing'
+        WHEN length(text) = 0 THEN '$.prompt: too short' WHEN length(text) > 250 THEN '$.prompt: too long' END) AS errors
+  FROM call LEFT JOIN level USING (conv_id, id) LEFT JOIN cyclic y ON y.conv_id = call.conv_id AND y.id = call.id
 ), linked AS (
-  SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, coalesce(c.turn, a.turn) AS turn, c.turn IS NOT NULL AS called,
-    CASE WHEN c.turn IS NULL THEN 'no call' WHEN a.turn IS NULL THEN 'no result' ELSE 'linked' END AS status,
-    CASE WHEN c.follows THEN '["call_' || (c.turn - 2) || '"]' ELSE '[]' END AS after,
-    CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '}' END AS arguments,
+  SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.id, a.id) AS call_id, coalesce(c.turn, a.turn) AS turn, c.turn IS NOT NULL AS called, level, coalesce(errors, '') AS errors,
+    CASE WHEN c.turn IS NULL THEN 'no call' WHEN a.turn IS NULL THEN 'no result' ELSE 'linked' END AS status, name,
+    '[' || concat_ws(',', '"' || dep || '"', '"' || more || '"') || ']' AS after,
+    CASE WHEN c.turn IS NULL OR broken THEN 'null' ELSE '{' || coalesce('"prompt":' || to_json(c.text) || ',', '') || '"turn":' || c.turn || '}' END AS arguments,
     coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') AS result
-  FROM call c FULL JOIN answer a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+  FROM judged c FULL JOIN answer a ON a.conv_id = c.conv_id AND a.id = c.id
 )
-SELECT conv_id, call_id, CAST(0 AS INTEGER) AS level, turn, status, called AS valid, '' AS errors,
-  '{"after":' || after || ',"arguments":' || arguments || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, call_id, CAST(level AS INTEGER) AS level, turn, status, called AND errors = '' AS valid, errors,
+  '{"after":' || after || ',"arguments":' || arguments || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
     || ',"result":' || result || ',"status":"' || status || '"}' AS json
 FROM linked
 """

@@ -5,26 +5,39 @@ topological order of the calls' dependencies, their arguments validated against
 tools' schemas, and each call serialised with its result as canonical JSON (keys
 sorted, no white space, UTF-8 as it is, no NaN).
 
-Order.  Rows sorted by (conv_id, level, turn, call_id) are in topological order.  Where
-each dependency has an earlier turn than the call, as in recorded chats, turns are
-such an order already and the level is 0.  Conversations with a dependency on the
-same or a later turn get levels by rounds that settle all calls whose dependencies
-are settled; calls on a cycle keep a null level and an error.
-
-Calls are rows, never gathered by conversation, so a conversation may be as long as it
-likes.  Of several calls (results) of one identifier the one of the earliest turn
-counts, then the smallest text; minima combine map-side.
+Order.  ``level`` is the length of the longest chain of calls that a call depends on, so
+rows sorted by (conv_id, level, turn, call_id) are in topological order.  Calls that
+wait on a cycle have a null level and an error.
+
+Levels are found by blocks: a block holds a conversation's calls of ``BLOCK_TURNS``
+turns, or, where these are more than ``BLOCK_CALLS``, a part of them by hash.  A task
+settles all calls of a block that wait for nothing outside it; what blocks have
+settled then reaches the others, and unsettled blocks go again.  Rounds follow the
+number of blocks that a chain crosses and come back to (one for conversations of
+ordinary size), not its length, and no task holds more than a block, so a
+conversation may be as long as it likes.  Of several calls (results) of one
+identifier the one of the earliest turn counts, then the smallest text; minima
+combine map-side.
+
+Arguments.  Whatever they hold ends in a value or an error.  Numbers beyond the range
+of a double, integers of more digits than Python reads, NaN and infinities are broken
+JSON; so is more than ``MAX_DEPTH`` levels of nesting, with an error of its own. Lone
+surrogates, which UTF-8 lacks, become U+FFFD.  Schemas are objects, true (anything) or
+false (nothing); one that is broken or misused gives an error to each of its calls.
 
 Defined results: a call without a result has a null result and status 'no result'; a
-result without a call gives a row of status 'no call'; null ids match nothing and
-are 'no call'/'no result' rows; unknown or null tool names and broken JSON are errors
-(valid = false); dependencies on ids that the conversation lacks are errors; extra
-columns are ignored; empty tables give an empty result.
+result without a call gives a row of status 'no call' and null level; null ids match
+nothing and are 'no call'/'no result' rows; null or empty arguments are the JSON null;
+unknown or null tool names are errors (valid = false); dependencies on ids that the
+conversation lacks are errors, and don't count for the level; extra columns are
+ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,27 +47,47 @@ from pyspark.sql import functions as F
 
 from tuplewise.llm.common import cut, small_batches
 
+BLOCK_TURNS, BLOCK_CALLS = 4096, 1 << 16
+MAX_DEPTH = 100
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 def _refuse(constant: str):
     raise ValueError(f"{constant} is not JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise ValueError("beyond the range of a double")
+    return value
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub("\ufffd", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
 
+def _depth(value) -> int:
+    """Levels of nesting, found without recursion; counted to one more than MAX_DEPTH at most."""
+    level, depth = [value], 0
+    while depth <= MAX_DEPTH and (level := [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x)]):
+        depth += 1
+    return depth
 
-def errors_of(value, schema: dict, at: str = "$") -> list[str]:
+
+def errors_of(value, schema: dict | bool, at: str = "$") -> list[str]:
     """What in ``value`` breaks ``schema``: type, enum, required, properties, additionalProperties, items, lengths and bounds."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
+    number = isinstance(value, int | float) and not isinstance(value, bool)
     if kinds:
-        number = isinstance(value, int | float) and not isinstance(value, bool)
-        fits = {"number": number, "integer": number and float(value).is_integer()} | {k: isinstance(value, t) for k, t in _TYPES.items()}
+        fits = {"number": number, "integer": number and (isinstance(value, int) or value.is_integer())} | {k: isinstance(value, t) for k, t in _TYPES.items()}
         if not any(fits.get(k, False) for k in kinds):
             return [f"{at}: not of type {'/'.join(kinds)}"]
-    out = [f"{at}: not one of the listed values"] if "enum" in schema and value not in schema["enum"] else []
+    out = [f"{at}: not one of the listed values"] if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) else []
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -70,15 +103,40 @@ def errors_of(value, schema: dict, at: str = "$") -> list[str]:
         name = "Length" if isinstance(value, str) else "Items"
         out += [f"{at}: too short"] if len(value) < schema.get(f"min{name}", 0) else []
         out += [f"{at}: too long"] if len(value) > schema.get(f"max{name}", len(value)) else []
-    if isinstance(value, int | float) and not isinstance(value, bool):
+    if number:
         out += [f"{at}: too small"] if value < schema.get("minimum", value) else []
         out += [f"{at}: too large"] if value > schema.get("maximum", value) else []
     return out
 
 
 @lru_cache(maxsize=1024)
-def _schema(text: str) -> dict:
-    return json.loads(text)
+def _schema(text: str) -> dict | bool | None:
+    """A schema; None if it is none."""
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict | bool) and _depth(found) <= MAX_DEPTH else None
+
+
+def checked(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
+    """The value of a call's arguments, and what is wrong with them; never raises."""
+    try:
+        value = json.loads(arguments or "null", parse_constant=_refuse, parse_float=_finite)
+    except RecursionError:
+        return None, ["$: nested too deep"]
+    except ValueError:
+        return None, ["$: broken JSON"]
+    if _depth(value) > MAX_DEPTH:
+        return None, ["$: nested too deep"]
+    if schema is None:
+        return value, ["no such tool"]
+    if (rules := _schema(schema)) is None:
+        return value, ["broken schema"]
+    try:
+        return value, [_LONE.sub("\ufffd", e) for e in errors_of(value, rules)]
+    except (TypeError, AttributeError, ValueError, KeyError):  # a schema whose keywords hold what they can't
+        return value, ["broken schema"]
 
 
 def _serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,33 +145,62 @@ def _serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             found, value = list(r["problems"] or []), None
             if r["status"] != "no call":
-                try:
-                    value = json.loads(r["arguments"] or "null", parse_constant=_refuse)
-                except ValueError:
-                    found.append("$: broken JSON")
-                else:
-                    found += errors_of(value, _schema(r["schema"])) if r["schema"] is not None else ["no such tool"]
-            line = {"id": r["call_id"], "name": r["name"], "arguments": value, "after": sorted(r["after"] or []), "result": r["result"], "status": r["status"]}
+                value, wrong = checked(r["arguments"], r["schema"])
+                found += wrong
+            line = {"id": r["call_id"], "name": r["name"], "arguments": value, "after": sorted(x for x in r["after"] or [] if x is not None), "result": r["result"], "status": r["status"]}
             valid.append(not found and r["status"] != "no call")
             errors.append(found)
             lines.append(canonical(line))
         kept = [batch.column(c) for c in ("conv_id", "call_id", "level", "turn", "status")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(valid), pa.array(errors, pa.list_(pa.string())), pa.array(lines, pa.string())], names=["conv_id", "call_id", "level", "turn", "status", "valid", "errors", "json"])
-
-
-def _levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls of conversations that turns don't order."""
-    settled = calls.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    settled, level = cut(settled), 0
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(lines, pa.string())], names=["conv_id", "call_id", "level", "turn", "status", "valid", "errors", "json"])
+
+
+def _settled(key: tuple[pa.Scalar, ...], edges: pa.Table) -> pa.Table:
+    """Levels of the calls of one block that wait for nothing that isn't settled, from its edges (call_id, dep, dep_level)."""
+    names, deps, levels = (edges[c].to_pylist() for c in ("call_id", "dep", "dep_level"))
+    waits: dict[str, int] = {}
+    least: dict[str, int] = {}
+    users: dict[str, list[str]] = {}
+    for call, dep, level in zip(names, deps, levels, strict=True):
+        waits.setdefault(call, 0)
+        if level is None:
+            waits[call] += 1
+            users.setdefault(dep, []).append(call)
+        else:
+            least[call] = max(least.get(call, 0), level + 1)
+    out, ready = {}, [c for c, n in waits.items() if not n]
+    while ready:
+        call = ready.pop()
+        out[call] = least[call]
+        for user in users.get(call, ()):
+            least[user] = max(least.get(user, 0), out[call] + 1)
+            waits[user] -= 1
+            if not waits[user]:
+                ready.append(user)
+    return pa.table({"conv_id": pa.array([key[0].as_py()] * len(out), pa.string()), "call_id": pa.array(list(out), pa.string()), "level": pa.array(list(out.values()), pa.int32())})
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the calls that have ``edges`` (conv_id, call_id, turn, dep), each from a call to another; null where a cycle is waited for."""
+    ids = ["conv_id", "call_id"]
+    block = F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS)
+    calls = cut(edges.groupBy(*ids).agg(F.min(block).alias("block")))
+    sizes = calls.groupBy("conv_id", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CALLS).alias("parts"))
+    placed = calls.join(sizes, ["conv_id", "block"]).select(*ids, "block", F.pmod(F.xxhash64("call_id"), F.col("parts")).alias("part"))
+    open_ = edges.select(*ids, "dep").join(placed, ids)
+    waits = calls.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("waits"))
+    level = F.when(F.col("waits").isNull(), F.lit(0)).alias("dep_level")  # what waits for nothing is of level 0
+    open_ = cut(open_.join(waits, ["conv_id", "dep"], "left").select(*ids, "block", "part", "dep", level))
+    settled = None
     while True:
-        level += 1
-        open_ = edges.join(settled.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left")
-        open_ = open_.join(settled.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        ready = open_.groupBy("conv_id", "call_id").agg(F.count(F.when(F.col("level").isNull(), 1)).alias("waits")).filter("waits = 0")
-        ready = cut(ready.select("conv_id", "call_id", F.lit(level).alias("level")))
-        if not ready.limit(1).count():
-            return settled
-        settled = settled.union(ready)
+        new = open_.groupBy("conv_id", "block", "part").applyInArrow(_settled, "conv_id string, call_id string, level int")
+        new = cut(new)
+        settled = new if settled is None else cut(settled.union(new))
+        left = open_.join(new.select(*ids), ids, "left_anti").join(new.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("own")), ["conv_id", "dep"], "left")
+        open_ = cut(left.select(*ids, "block", "part", "dep", F.coalesce("dep_level", "own").alias("dep_level")))
+        # blocks go again only if what was settled is news to an unsettled one
+        if not new.limit(1).count() or not open_.limit(1).count():
+            return calls.select(*ids).join(settled, ids, "left")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -133,22 +220,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     answer = apart(named(results)).groupBy(*ids, "_own").agg(F.min(F.struct("turn", "content")).alias("r"))
     answer = answer.select(*ids, F.col("r.content").alias("result"), F.col("r.turn").alias("result_turn"), F.lit(True).alias("answered"))
 
-    edges = first.select(*ids, "turn", F.explode(F.array_distinct("after")).alias("dep"))
-    target = first.select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"), F.lit(True).alias("known"))
+    edges = first.select(*ids, "turn", F.explode(F.array_distinct("after")).alias("dep")).filter("dep IS NOT NULL")
+    target = first.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
     edges = cut(edges.join(target, ["conv_id", "dep"], "left"))
-    missing = edges.filter("known IS NULL").groupBy(*ids).agg(F.array_sort(F.collect_list(F.concat(F.lit("no such dependency: "), F.col("dep")))).alias("missing"))
-    bad = edges.filter("known AND NOT coalesce(dep_turn < turn, false)").select("conv_id").distinct()
-    joined = first.join(answer, ids, "full").join(missing, ids, "left")
-    joined = joined.withColumn("turn", F.coalesce("turn", "result_turn"))
-    if bad.limit(1).count():
-        within = lambda df: df.join(bad, "conv_id", "left_semi")
-        levels = _levels(cut(within(edges.filter("known")).select(*ids, "dep")), cut(within(first).select(*ids)))
-        joined = joined.join(levels, ids, "left").join(bad.withColumn("_bad", F.lit(True)), "conv_id", "left")
-        level = F.when(F.col("_bad"), F.col("level")).otherwise(F.lit(0))
-        cycle = F.when(F.col("_bad") & F.col("called") & F.col("level").isNull(), F.array(F.lit("depends on itself")))
-        joined = joined.withColumns({"problems": F.concat(F.coalesce("missing", F.array().cast("array<string>")), F.coalesce(cycle, F.array().cast("array<string>"))), "level": level})
-    else:
-        joined = joined.withColumns({"problems": F.col("missing"), "level": F.lit(0)})
+    lacking = edges.filter("known IS NULL").groupBy(*ids).agg(F.array_sort(F.collect_list(F.concat(F.lit("no such dependency: "), F.col("dep")))).alias("missing"))
+    levels = _levels(edges.filter("known")).withColumn("waits", F.lit(True))
+    joined = first.join(answer, ids, "full").join(lacking, ids, "left").join(levels, ids, "left")
+    none = F.array().cast("array<string>")
+    cycle = F.when(F.col("waits") & F.col("level").isNull(), F.array(F.lit("waits on a cycle"))).otherwise(none)
+    joined = joined.withColumns({
+        "turn": F.coalesce("turn", "result_turn"), "problems": F.concat(F.coalesce("missing", none), cycle),
+        "level": F.when(F.col("waits"), F.col("level")).when(F.col("called"), F.lit(0)),
+    })
     status = F.when(F.col("called").isNull(), "no call").when(F.col("answered").isNull(), "no result").otherwise("linked")
     tools = schemas.groupBy("name").agg(F.min("schema").alias("schema"))
     rows = joined.withColumn("status", status).join(tools, "name", "left")
