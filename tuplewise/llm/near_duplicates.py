@@ -21,10 +21,12 @@ After two rounds, buckets of over ``CROWDED`` members that still aren't settled
 those of texts around one template, or of a family of near copies and its
 neighbours.  Their members meet again by prefix filtering, which is exact: shingles
 are ordered from rare to frequent, and of two linked texts the smaller one has one of
-its first n - 6n/7 + 1 shingles among the first m - 3m/4 + 1 of the larger one.  What
+its first n - 6n/7 + 1 shingles among the first m - 3m/4 + 1 of the larger one, and at the
+first one that they share each has 3(n + m)/7 left at least, itself included.  What
 a template repeats is frequent and so last in order; its pages meet only if they
-share what is their own.  The order comes from a count of fixed size (``COUNT_BITS``);
-it decides how many candidates there are, not which links are found.
+share what is their own.  The order comes from counts of a fixed number of cells
+(``COUNT_BITS``), to which a task adds what it sees twice or more; it decides how many
+candidates there are, not which links are found.
 
 So no candidate pair that could join two components goes untested, without a cap on
 partners or candidates, and rows between steps follow members, not pairs.
@@ -66,7 +68,7 @@ CROWDED = 32
 #: shingles are counted in 2**COUNT_BITS cells
 COUNT_BITS = 18
 #: classes whose sets are fetched by a broadcast of their ids; more are joined by shuffle
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 _U = np.uint64
 
@@ -171,6 +173,16 @@ def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of the shingles of a task's sets, of cells with two or more."""
+    counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    for batch in batches:
+        cells = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(_U) >> _U(64 - COUNT_BITS)
+        counts += np.bincount(cells.astype(np.int64), minlength=len(counts))
+    full = np.flatnonzero(counts > 1)
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["cell", "n"])
+
+
 def _prefixes(counts):
     """A task's function: the first shingles of each set, from rare to frequent, as buckets."""
 
@@ -180,41 +192,44 @@ def _prefixes(counts):
             lists = batch.column(1)
             flat, at = lists.values.to_numpy().view(_U), lists.offsets.to_numpy().astype(np.int64)
             size = np.diff(at)
-            probe, index = size - (3 * size + 3) // 4 + 1, size - (6 * size + 6) // 7 + 1
+            probe = size - (3 * size + 3) // 4 + 1
             found = [np.zeros(0, dtype=_U)]
             for i, n in enumerate(probe.tolist()):
                 own = flat[at[i] : at[i + 1]]  # sorted already, so equal counts keep that order
                 found.append(own[np.argsort(frequency[own >> _U(64 - COUNT_BITS)], kind="stable")[:n]])
-            rank = np.arange(int(probe.sum())) - np.repeat(np.cumsum(probe) - probe, probe)
+            place = np.arange(int(probe.sum())) - np.repeat(np.cumsum(probe) - probe, probe)
             columns = [
                 pa.array(kernel.mix(np.concatenate(found) + _U(PERCENT)).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), probe))),
-                pa.array(np.repeat(size, probe), pa.int64()), pa.array(rank < np.repeat(index, probe)),
+                pa.array(np.repeat(size, probe), pa.int64()), pa.array(place, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "n", "first"])
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "n", "place"])
 
     return run
 
 
+#: may be the first shingle shared with a text of no fewer shingles
+_FIRST = "7 * (n - place) >= 6 * n"
+
+
 def _shared(members: DataFrame) -> DataFrame:
-    """The ``members`` (bucket, node, n, first) of buckets in which two could meet."""
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max("first").alias("any")).filter("k > 1 AND any").select("bucket")
+    """The ``members`` (bucket, node, n, place) of buckets in which two could meet."""
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.expr(_FIRST)).alias("any")).filter("k > 1 AND any").select("bucket")
     return members.join(shared, "bucket", "left_semi")
 
 
 def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Bucket members (bucket, node, n, first) by which all linked pairs of ``nodes`` meet; ``first``: as the smaller one of a pair."""
+    """Bucket members (bucket, node, n, place) by which all linked pairs of ``nodes`` meet; ``place``: the shingle's in the order of the node's own."""
     chosen = cut(sets.join(nodes, "node", "left_semi"))
-    cells = chosen.select(F.explode("shingles").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - COUNT_BITS).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = chosen.select("shingles").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = cells.toArrow()  # at most 2**COUNT_BITS rows
     counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
     counts[table["cell"].to_numpy()] = table["n"].to_numpy()
-    small = counts.astype(np.int32) if counts.max() < 1 << 31 else counts
-    shared = nodes.sparkSession.sparkContext.broadcast(small)
-    return _shared(cut(chosen.mapInArrow(_prefixes(shared), "bucket long, node long, n long, first boolean")))
+    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+    return _shared(cut(chosen.mapInArrow(_prefixes(shared), "bucket long, node long, n long, place long")))
 
 
 def _linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, comp) of the nodes that have links, from bucket members (bucket, node, n, first)."""
+    """(node, comp) of the nodes that have links, from bucket members (bucket, node, n, place)."""
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     turn = 0
@@ -222,7 +237,7 @@ def _linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         now = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = cut(now)
         # sizes of the components within each bucket; buckets with one component are settled
-        parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("first").alias("any"))
+        parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.expr(_FIRST)).alias("any"))
         sizes = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("most"), F.max("any").alias("any")).filter("k > 1 AND any")
         crowded = F.col("size") > CROWDED
         sizes = sizes.select("bucket", crowded.alias("crowded"), (crowded & (2 * F.col("most.m") >= F.col("size"))).alias("mostly_one"), F.col("most.comp").alias("main"))
@@ -231,29 +246,28 @@ def _linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
             turn += 1
             crowd = cut(now.filter("crowded").select("node").distinct())
             if crowd.limit(1).count():
-                members = now.filter("not crowded").select("bucket", "node", "n", "first").unionByName(_by_prefix(crowd, sets))
+                members = now.filter("not crowded").select("bucket", "node", "n", "place").unionByName(_by_prefix(crowd, sets))
                 continue
         few, many = CENTRES[turn] if turn < len(CENTRES) else (4 ** (turn - len(CENTRES)),) * 2
         slots = F.when(F.col("mostly_one"), many).otherwise(few)
         in_main = F.col("mostly_one") & (F.col("comp") == F.col("main"))
         # small components first, members outside a main one too; just the second round looks from the main one
         order = F.when(F.col("mostly_one"), -F.col("m")).otherwise(F.col("m")) if turn == 1 else F.when(in_main, 1 << 62).otherwise(F.col("m"))
-        rank = F.struct(order.alias("m"), F.xxhash64("node").alias("h"), "node", "n", "comp", "first")
+        rank = F.struct(order.alias("m"), F.xxhash64("node").alias("h"), "node", "n", "comp", "place")
         centres = now.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), slots).alias("slot")).agg(F.min(rank).alias("c"))
-        centres = cut(centres.select("bucket", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "comp", "first")]))
+        centres = cut(centres.select("bucket", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "comp", "place")]))
         if not centres.limit(1).count():
             return labels
         met = now.join(centres, "bucket").filter(F.col("comp") != F.col("c_comp"))
-        met = met.filter(100 * F.least("n", "c_n") >= PERCENT * F.greatest("n", "c_n"))
-        smaller = F.struct(F.col("n").alias("n"), F.col("node").alias("x")) < F.struct(F.col("c_n").alias("n"), F.col("c_node").alias("x"))
-        met = met.filter(F.when(smaller, F.col("first")).otherwise(F.col("c_first")))
+        # enough of both is left from the shared shingle on; of bands, that says that the sizes are close enough
+        met = met.filter(7 * F.least(F.col("n") - F.col("place"), F.col("c_n") - F.col("c_place")) >= 3 * (F.col("n") + F.col("c_n")))
         edges = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
         edges = cut(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
         tested = edges if tested is None else tested.union(edges)
         links = cut(_confirmed(edges, sets))
         if links.limit(1).count():
             labels = _relabelled(labels, links)
-        members = now.select("bucket", "node", "n", "first").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
+        members = now.select("bucket", "node", "n", "place").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         turn += 1
 
 
@@ -280,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(rep.alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "bands"))
-    buckets = classes.select(F.explode("bands").alias("bucket"), "node", "n", F.lit(True).alias("first"))
+    buckets = classes.select(F.explode("bands").alias("bucket"), "node", "n", F.lit(0).cast("long").alias("place"))
     members = cut(_shared(buckets))
 
     wanted = cut(classes.select("node", "rep", "rep_hash").join(members.select("node").distinct(), "node"))
