@@ -99,6 +99,7 @@ def test_warc(spark, tmp_path):
     rnd = random.Random(2)
     for k in range(10, 60):
         rows.append((k, "u", "".join(rnd.choice(["abc", "é", "\r\n\r\n", "WARC/1.1\r\n", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "0123456789" * 9]) for _ in range(rnd.randint(0, 9)))))
+    rows += [(70, "u", "".join(f"WARC/1.1\r\nContent-Length: {k % 9}\r\n\r\n{'z' * (k % 13)}\r\n\r\n" for k in range(4000))), (71, "after", "WARC/1.1\r\nContent-Length: 9223372036854775800\r\n\r\n")]
     first = {}
     for i, _, h in rows:
         if i is not None and len(data := (h or "").encode()) >= 100:

@@ -11,14 +11,19 @@ do and a file is exactly a WARC file (uncompressed, so that it can be split).
 Reading.  The text reader cuts files at the magic ``WARC/1.1`` CR LF, in tasks over
 blocks of a file.  Lengths of the pieces add up to offsets: within a block, and over
 the blocks of a file.  Each piece is a candidate record; its header gives the offset
-of its successor.  Pointer jumping from the start of each file then keeps the
-reachable candidates only: reached offsets and jump pointers double their stride
-each round, so rounds follow the logarithm of the records in a file.  A magic within
-a payload starts a piece that no chain reaches, whatever its header claims.
+of its successor.  Within a block, a task follows each candidate's chain to the offset
+at which it leaves the block.  Between blocks, pointer jumping from the start of each
+file keeps the candidates at which the file's own chain enters a block: offsets and jump
+pointers double their stride each round, so rounds follow the logarithm of the blocks
+of a file, over a row or a few for each block.  From these entries a task marks the
+records of its block.  A magic within a payload starts a piece that no chain reaches,
+whatever its header claims.
 
 A payload that holds no magic lies in one piece, and is digested where it is read.
-Files with records of several pieces are read once more, and these records put
-together from their pieces, each bounded by its record.
+Files with records of several pieces are read once more and stored by piece, and these
+records put together, each bounded by its record.  Everything else moves numbers
+only: files are known by a 64-bit hash of their path, and no table of candidates is
+broadcast.
 
 Defined results: a null html is an empty payload; a null page_id is always a
 response and refers to nothing; repeated rows are one page (all responses, if the
@@ -29,16 +34,20 @@ doesn't start with a record has none, and a chain ends where no record starts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import cut
+from tuplewise.llm.common import cut, small_batches
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
 MIN_REVISIT = 100
-#: digests with more than one page that are broadcast; more are joined by shuffle
+#: digests with more than one page that are broadcast (of some 100 bytes each); more are joined by shuffle
 BROADCAST_ROWS = 200_000
+#: a record that claims more bytes isn't one
+LONGEST = 1 << 50
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -86,11 +95,12 @@ def _field(head: Column, name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """What lies between magics: file, block, seq (order within a block), raw, size."""
+    """What lies between magics: file, fid, block, seq (order within a block; a piece's number), value, raw, size."""
     read = spark.read.option("lineSep", MAGIC).text(folder)
     raw = F.col("value").cast("binary")
     return read.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"),
+        F.col("_metadata.file_path").alias("file"), F.xxhash64("_metadata.file_path").alias("fid"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
         F.col("value"), raw.alias("raw"), F.octet_length("value").cast("long").alias("size"),
     )
 
@@ -100,7 +110,7 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     head = F.substring_index("value", GAP, 1)
     out = pieces.withColumns({"head": head, "head_bytes": F.octet_length(head).cast("long")})
     length = F.when(F.col("head_bytes") < F.col("size"), F.expr(r"try_cast(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ \\t]*([0-9]+)', 1) AS BIGINT)"))
-    out = out.withColumn("length", length)
+    out = out.withColumn("length", F.when(length <= LONGEST, length))
     out = out.withColumn("total", F.col("head_bytes") + 4 + F.col("length") + 4)
     return out.withColumn("whole", F.coalesce(F.col("total") == F.col("size"), F.lit(False)))
 
@@ -121,26 +131,65 @@ def _opened(records: DataFrame) -> DataFrame:
     )
 
 
-def _placed(pieces: DataFrame, columns: list[str]) -> DataFrame:
-    """``pieces`` with ``at``: the offset in the file of the magic before the piece (below 0 for what precedes all)."""
-    step = F.col("size") + len(MAGIC)
-    blocks = pieces.groupBy("file", "block").agg(F.sum(step).alias("span"))
-    before = F.sum("span").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("base"))
-    inner = F.sum(step).over(Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = pieces.withColumn("inner", F.coalesce(inner, F.lit(0))).join(blocks, ["file", "block"])
-    return placed.select(*columns, (F.col("base") + F.col("inner") - len(MAGIC)).alias("at"))
+def _inside(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """For each ``to``, its place among the sorted offsets ``at``; -1 if it isn't there."""
+    place = np.minimum(np.searchsorted(at, to), len(at) - 1)
+    return np.where(at[place] == to, place, -1)
+
+
+def _chained(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+    """Offsets of the pieces of one block, their successors' (-1: no candidate), and where their chains leave the block."""
+    pieces = pieces.sort_by("seq")
+    step = pieces["size"].to_numpy() + len(MAGIC)
+    at = pieces["base"].to_numpy() + np.cumsum(step) - step - len(MAGIC)
+    total = pieces["total"].fill_null(-1).to_numpy()
+    after = np.where((total >= 0) & (at >= 0), at + len(MAGIC) + total, -1)
+    leaves, place = after.tolist(), np.where(after >= 0, _inside(at, after), -1).tolist()
+    for i in range(len(leaves) - 1, -1, -1):
+        if place[i] > i and after[place[i]] >= 0:
+            leaves[i] = leaves[place[i]]
+    columns = {"fid": pieces["fid"], "block": pieces["block"], "seq": pieces["seq"], "whole": pieces["whole"], "at": pa.array(at, pa.int64()), "next": pa.array(after, pa.int64())}
+    return pa.table(columns | {"leaves": pa.array(leaves, pa.int64())})
+
+
+def _marked(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+    """The pieces of one block with ``real`` (a record starts) and the record of this block that they belong to, or follow (own, own_next, own_whole)."""
+    pieces = pieces.sort_by("at")
+    at, after, whole = (pieces[c].to_numpy() for c in ("at", "next", "whole"))
+    real = pieces["entry"].fill_null(False).to_numpy().copy()
+    place = np.where(after >= 0, _inside(at, after), -1).tolist()
+    for i in range(len(place)):
+        if real[i] and place[i] > i and after[place[i]] >= 0:
+            real[place[i]] = True
+    own = np.maximum.accumulate(np.where(real, np.arange(len(real)), -1))
+    none = own < 0
+    columns = {"fid": pieces["fid"], "block": pieces["block"], "seq": pieces["seq"], "at": pieces["at"], "real": pa.array(real), "whole": pieces["whole"]}
+    return pa.table(columns | {"own": pa.array(at[own], mask=none), "own_next": pa.array(after[own], mask=none), "own_whole": pa.array(whole[own], mask=none)})
+
+
+def _chains(table: DataFrame) -> DataFrame:
+    """Of each piece of ``table``: fid, block, seq, whole, at, next, leaves."""
+    blocks = table.groupBy("fid", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("span"))
+    before = F.sum("span").over(Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    blocks = blocks.select("fid", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    placed = table.select("fid", "block", "seq", "whole", "size", "total").join(blocks.hint("merge"), ["fid", "block"])
+    return placed.groupBy("fid", "block").applyInArrow(_chained, "fid long, block long, seq long, whole boolean, at long, next long, leaves long")
+
+
+def _marks(chains: DataFrame, entries: DataFrame) -> DataFrame:
+    marks = chains.join(entries.hint("merge"), ["fid", "at"], "left").groupBy("fid", "block")
+    return marks.applyInArrow(_marked, "fid long, block long, seq long, at long, real boolean, whole boolean, own long, own_next long, own_whole boolean")
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """The (file, at) on the chains of ``candidates`` (file, at, next) from offset 0 of each file, by pointer jumping."""
-    jumps = cut(candidates.select("file", "at", "next"))
-    reached = jumps.filter("at = 0").select("file", "at")
+    """The (fid, at) on the chains of ``candidates`` (fid, at, next) from offset 0 of each file, by pointer jumping."""
+    jumps = cut(candidates.select("fid", "at", "next"))
+    reached = jumps.filter("at = 0").select("fid", "at")
     while True:
-        further = jumps.join(reached, ["file", "at"]).select("file", F.col("next").alias("at"))
-        alive = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
-        jumps = cut(jumps.join(alive, ["file", "next"]).select("file", "at", F.col("after").alias("next")))
-        further = further.join(candidates.select("file", "at"), ["file", "at"], "left_semi")
+        further = jumps.join(reached.hint("merge"), ["fid", "at"]).select("fid", F.col("next").alias("at"))
+        alive = jumps.select("fid", F.col("at").alias("next"), F.col("next").alias("after"))
+        jumps = cut(jumps.join(alive.hint("merge"), ["fid", "next"]).select("fid", "at", F.col("after").alias("next")))
+        further = further.join(candidates.select("fid", "at").hint("merge"), ["fid", "at"], "left_semi")
         reached = cut(reached.union(further))
         if not jumps.limit(1).count():
             return reached
@@ -148,31 +197,40 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record of the files in ``folder``: file, at, record_type, page_id, refers_to, url, payload_bytes, payload_digest."""
+    small_batches(spark)
     parsed = _parsed(_pieces(spark, folder))
     body = F.when(F.col("whole"), F.expr("substring(raw, cast(head_bytes + 5 AS INT), cast(length AS INT))"))
-    first = parsed.withColumn("head", F.when(F.col("whole"), F.col("head"))).select("file", "block", "seq", "size", "total", "whole", "head", body.alias("body"))
+    first = parsed.select(
+        "file", "fid", "block", "seq", "size", "total", "whole",
+        F.when(F.col("whole"), F.col("head")).alias("head"), body.alias("body"),
+    )
     table = cut(_opened(first))
-    columns = [c for c in table.columns if c not in ("block", "seq", "size")]
-    placed = cut(_placed(table, columns))
-    candidates = placed.filter("total IS NOT NULL AND at >= 0").select("file", "at", (F.col("at") + len(MAGIC) + F.col("total")).alias("next"))
-    real = reachable(candidates)
-    records = placed.join(real, ["file", "at"], "left_semi")
-    out = records.filter("whole").drop("whole", "total")
-    spread = cut(records.filter("NOT whole").select("file", "at", (F.col("at") + len(MAGIC) + F.col("total")).alias("next")))
+    fields = [c for c in table.columns if c not in ("file", "fid", "block", "seq", "size", "total", "whole")]
+    chains = cut(_chains(table))
+    candidates = chains.filter("next >= 0")
+    # a file's chain enters a block at the file's start, or where another chain has left a block
+    doors = candidates.select("fid", F.col("leaves").alias("at")).union(candidates.filter("at = 0").select("fid", "at")).distinct()
+    doors = cut(candidates.select("fid", "at", F.col("leaves").alias("next")).join(doors.hint("merge"), ["fid", "at"], "left_semi"))
+    entries = reachable(doors).distinct().withColumn("entry", F.lit(True))
+    marks = cut(_marks(chains, entries))
+    records = table.filter("whole").join(marks.filter("real AND whole").select("seq", "at").hint("merge"), "seq").select("file", "at", *fields)
+    spread = marks.filter("real AND NOT whole")
     if not spread.limit(1).count():
-        return out
-    # records with a magic in the payload: their files' pieces, by the record that covers them
-    again = _parsed(_pieces(spark, folder)).join(spread.select("file").distinct(), "file", "left_semi")
-    again = _placed(again, ["file", "raw", "size", "head", "head_bytes", "length"])
-    starts = again.filter("at >= 0").join(real.withColumn("real", F.lit(True)), ["file", "at"], "left")
-    owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
-    owned = starts.select("file", "at", "raw", "head", "head_bytes", "length", owner.alias("own"))
-    owned = owned.join(spread.select("file", F.col("at").alias("own"), "next"), ["file", "own"]).filter("at < next")
-    parts = owned.groupBy("file", "own").agg(
-        F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"),
-        F.min(F.when(F.col("at") == F.col("own"), F.struct("head", "head_bytes", "length"))).alias("h"),
-    )
-    joined = F.aggregate("parts", F.lit("").cast("binary"), lambda a, p: F.concat(a, p["raw"], F.lit(MAGIC).cast("binary")))
-    whole = parts.select("file", F.col("own").alias("at"), F.col("h.head").alias("head"), joined.alias("all"), "h.head_bytes", "h.length")
-    whole = whole.withColumn("body", F.expr("substring(all, cast(head_bytes + 5 AS INT), cast(length AS INT))")).select("file", "at", "head", "body")
-    return out.unionByName(_opened(whole))
+        return records
+    # the blocks of this reading may be others, but offsets in files are the same
+    again = _parsed(_pieces(spark, folder)).join(spread.select("fid").distinct().hint("merge"), "fid", "left_semi")
+    again = cut(again.select("file", "fid", "block", "seq", "size", "total", "whole", "raw"))
+    starts = marks.filter("real").select("fid", "at", F.lit(True).alias("entry"))
+    pieces = cut(_marks(_chains(again), starts))
+    # a block in which no record starts, or what precedes the first one, belongs to the last record before
+    lasts = pieces.groupBy("fid", "block").agg(F.max(F.when(F.col("real"), F.struct("at", F.col("own_next").alias("next"), "whole"))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    owned = pieces.join(lasts.select("fid", "block", before.alias("last")).hint("merge"), ["fid", "block"])
+    own = lambda name, last: F.when(F.col("own").isNull(), F.col(f"last.{last}")).otherwise(F.col(name))
+    owned = owned.select("seq", "at", own("own", "at").alias("own"), own("own_next", "next").alias("own_next"), own("own_whole", "whole").alias("own_whole"))
+    owned = owned.filter("own IS NOT NULL AND NOT own_whole AND at < own_next").select("seq", "at", "own")
+    parts = again.select("file", "seq", "raw").join(owned.hint("merge"), "seq").groupBy("file", F.col("own").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
+    value = F.array_join(F.transform("parts", lambda part: part["raw"].cast("string")), MAGIC)
+    whole = _parsed(parts.select("file", "at", value.alias("value")).withColumn("size", F.octet_length("value").cast("long")))
+    body = F.expr("substring(cast(value AS BINARY), cast(head_bytes + 5 AS INT), cast(length AS INT))")
+    return records.unionByName(_opened(whole.select("file", "at", "head", body.alias("body"))))
