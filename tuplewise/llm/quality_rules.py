@@ -5,15 +5,22 @@ multivariate outlier test runs: for each language and source, a minimum
 covariance determinant (MCD) estimate of centre and scatter of transformed
 statistics, and rejection by Mahalanobis distance.
 
-MCD by concentration steps.  Every row starts with its distance from its group's
-coordinate-wise medians.  A step keeps the ``h`` share of rows nearest to the
+MCD by concentration steps.  A step keeps the ``h`` share of rows nearest to the
 group's estimate and takes mean and covariance of these; that never raises the
-determinant.  Quantiles are exact within a fixed logarithmic grid: rows are
-counted by (group, cell), so a group that holds most of the table costs one task
-no more than its cells.  Means and covariances are sums, combined map-side.  The
-Cholesky factor of a group's scatter and the distances are column expressions.
-Nothing is collected to the driver, and rows carry their numbers along, never
-their text.
+determinant.  Each group has three starts: medians with the floors as scale, medians
+with the coordinate-wise median absolute deviations, and mean and covariance of all
+rows.  After ``TRIAL`` steps the start of the least determinant goes on, until no
+group's logarithm of the determinant falls by ``SETTLED``, for ``STEPS`` more at most.
+Three fixed starts are fewer than the hundreds of random ones that are usual for small
+data; a test compares the outcome with these.
+
+Quantiles are exact within a fixed logarithmic grid: rows are counted by (group,
+start, cell), map-side first.  Means and covariances are sums, combined map-side.  The
+Cholesky factor of a group's scatter and the distances are column expressions.  Rows
+are never exchanged by group: the table of estimates, a row for each group and start,
+is broadcast if it has ``BROADCAST_GROUPS`` rows at most, and else joined by group and
+salt.  Only a count and a difference reach the driver, and rows carry their numbers
+along, never their text.
 
 Groups of fewer than ``min_group`` rows pool by language, and pools that are still
 small pool over languages.  A floor is added to the variances, since most texts
@@ -28,7 +35,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplewise.llm.common import cut
@@ -39,7 +46,9 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 H = 0.75
-STEPS = 5
+TRIAL, STEPS, SETTLED = 2, 10, 1e-4
+#: rows of estimates (of some 200 bytes) that are broadcast; more are joined by group and one of SALTS salts
+BROADCAST_GROUPS, SALTS = 20_000, 64
 MIN_GROUP = 200
 #: share of ordinary rows that may lie beyond the cut-off, were the statistics normal
 TAIL = 1e-9
@@ -132,8 +141,6 @@ def chi2_point(share: float, p: int) -> float:
 
 def _at_share(rows: DataFrame, by: list[str], cell: str, share: float) -> DataFrame:
     """For each ``by``, the smallest cell up to which at least ``share`` of its rows lie."""
-    from pyspark.sql import Window
-
     counted = rows.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by)
     up = counted.withColumns({"_up": F.sum("_n").over(w.orderBy(cell)), "_all": F.sum("_n").over(w)})
@@ -151,19 +158,34 @@ def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
         "_lang", "_source",
         F.when(~small, own).when(F.col("_pool") >= min_group, F.to_json(F.array("_lang"))).otherwise("[]").alias("_grp"),
     )
-    return named.join(keys, ["_lang", "_source"], "left").drop("_lang", "_source")
+    return _beside(named, cut(keys), ["_lang", "_source"]).drop("_lang", "_source")
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of a stored ``table`` of groups: its one row or few rows of the same ``by``."""
+    if table.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), by)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*by, "_salt"]).drop("_salt")
 
 
-def _medians(rows: DataFrame, names: list[str]) -> DataFrame:
-    """A row for each group with the coordinate-wise medians, to a 64th."""
-    cells = F.array(*[F.struct(F.lit(k).alias("_k"), F.round(F.col(f) * 64).cast("long").alias("_cell")) for k, f in enumerate(names)])
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """A row for each group with the medians of ``values``, to a 64th, as columns name0, name1, ..."""
+    cells = F.array(*[F.struct(F.lit(k).alias("_k"), F.round(v * 64).cast("long").alias("_cell")) for k, v in enumerate(values)])
     long = rows.select("_grp", F.explode(cells).alias("_c")).select("_grp", "_c._k", "_c._cell")
     at = _at_share(long, ["_grp", "_k"], "_cell", 0.5)
-    return at.groupBy("_grp").agg(*[F.max(F.when(F.col("_k") == k, F.col("_at") / 64.0)).alias(f"_m{k}") for k in range(len(names))])
+    return at.groupBy("_grp").agg(*[F.max(F.when(F.col("_k") == k, F.col("_at") / 64.0)).alias(f"{name}{k}") for k in range(len(values))])
+
+
+def _sums(rows: DataFrame, names: list[str], *by: str) -> DataFrame:
+    p = len(names)
+    sums = [F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]
+    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_q{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sums, *products)
 
 
 def _factored(moments: DataFrame, floors: list[float], factor: float) -> DataFrame:
-    """From sums to mean and Cholesky factor of the scatter, as columns _m{i} and _l{i}_{j}."""
+    """From sums to mean, Cholesky factor and log determinant of the scatter, as columns _m{i}, _l{i}_{j} and _det."""
     p = len(floors)
     out = moments.withColumns({f"_m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(p)})
     cov = {(i, j): F.lit(factor) * (F.col(f"_q{i}_{j}") / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{j}")) for i in range(p) for j in range(i + 1)}
@@ -177,12 +199,20 @@ def _factored(moments: DataFrame, floors: list[float], factor: float) -> DataFra
             for k in range(j):
                 left = left - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
             out = out.withColumn(f"_l{i}_{j}", left / F.col(f"_l{j}_{j}"))
-    return out.select("_grp", *[f"_m{i}" for i in range(p)], *[f"_l{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return out.select("_grp", "_start", *_parts(p), _log_det(p))
 
 
-def _distances(rows: DataFrame, estimate: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` with the squared Mahalanobis distance ``distance2`` from their group's estimate."""
-    out = rows.join(estimate, "_grp", "left")
+def _parts(p: int) -> list[str]:
+    return [f"_m{i}" for i in range(p)] + [f"_l{i}_{j}" for i in range(p) for j in range(i + 1)]
+
+
+def _log_det(p: int) -> Column:
+    return sum((2 * F.log(F.col(f"_l{i}_{i}")) for i in range(1, p)), 2 * F.log(F.col("_l0_0"))).alias("_det")
+
+
+def _distances(rows: DataFrame, estimate: DataFrame, names: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the squared Mahalanobis distance ``distance2`` from their group's estimates, and the columns ``more`` of these."""
+    out = _beside(rows, estimate, ["_grp"])
     p = len(names)
     for i in range(p):
         left = F.col(names[i]) - F.col(f"_m{i}")
@@ -190,32 +220,56 @@ def _distances(rows: DataFrame, estimate: DataFrame, names: list[str]) -> DataFr
             left = left - F.col(f"_l{i}_{k}") * F.col(f"_y{k}")
         out = out.withColumn(f"_y{i}", left / F.col(f"_l{i}_{i}"))
     total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, p)), F.col("_y0") * F.col("_y0"))
-    return out.withColumn("distance2", total).select(*rows.columns, "distance2")
+    return out.withColumn("distance2", total).select(*rows.columns, *more, "distance2")
 
 
-def mcd_distances(rows: DataFrame, features: dict[str, float], h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """``rows`` (lang, source and ``features``) with ``distance2`` under their group's MCD estimate.
+def _starts(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+    """Three estimates for each group: _grp, _start, mean and Cholesky factor, _det."""
+    p = len(names)
+    middle = cut(_medians(rows, [F.col(n) for n in names], "_m"))
+    spread = _medians(_beside(rows, middle, ["_grp"]), [F.abs(F.col(n) - F.col(f"_m{i}")) for i, n in enumerate(names)], "_d")
+    plain = middle.join(spread, "_grp")
+    scaled = lambda start, own: plain.withColumns({"_start": F.lit(start)} | {f"_l{i}_{j}": own(i) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)})
+    both = scaled(0, lambda i: F.lit(floors[i])).unionByName(scaled(1, lambda i: F.greatest(1.4826 * F.col(f"_d{i}"), F.lit(floors[i]))))
+    whole = _factored(_sums(rows.withColumn("_start", F.lit(2)), names, "_grp", "_start"), floors, 1.0)
+    return both.select("_grp", "_start", *_parts(p), _log_det(p)).unionByName(whole)
 
-    ``features`` gives each column's floor on the standard deviation.  ``rows`` is
-    read once for each step, so pass a stored table.
-    """
+
+def mcd_estimates(rows: DataFrame, features: dict[str, float], h: float = H, steps: int = STEPS) -> DataFrame:
+    """A row for each ``_grp`` of the stored ``rows``: its MCD estimate as mean, Cholesky factor and log determinant."""
     names, floors = list(features), list(features.values())
     p = len(names)
     q = chi2_point(h, p)
     factor = h / chi2_share(q, p + 2)  # makes the scatter of the nearest h unbiased for normal rows
+    rows = rows.select("_grp", *names)
+    cell = F.floor(F.log1p(F.col("distance2")) * _CELLS).cast("long")
+    estimate = cut(_starts(rows, names, floors))
+    for turn in range(TRIAL + steps):
+        near = _distances(rows, estimate, names, ("_start",)).withColumn("_cell", cell)
+        limit = cut(estimate.join(_at_share(near, ["_grp", "_start"], "_cell", h), ["_grp", "_start"]))
+        kept = _distances(rows, limit, names, ("_start", "_at")).filter(cell <= F.col("_at"))
+        step = _factored(_sums(kept, names, "_grp", "_start"), floors, factor)
+        if turn < TRIAL - 1:
+            estimate = cut(step)
+        elif turn == TRIAL - 1:
+            best = F.min(F.struct("_det", "_start", *_parts(p))).alias("best")
+            estimate = cut(step.groupBy("_grp").agg(best).select("_grp", "best.*"))
+        else:
+            step = cut(step.withColumnRenamed("_det", "_new").join(estimate.select("_grp", F.col("_det").alias("_was")), "_grp"))
+            fall = step.agg(F.max(F.col("_was") - F.col("_new"))).first()[0]
+            estimate = step.withColumnRenamed("_new", "_det").drop("_was")
+            if fall is None or fall < SETTLED:
+                break
+    return estimate.drop("_start")
+
+
+def mcd_distances(rows: DataFrame, features: dict[str, float], h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """``rows`` (lang, source and ``features``) with ``distance2`` under their group's MCD estimate.
+
+    ``features`` gives each column's floor on the standard deviation.
+    """
     rows = cut(_grouped(rows, min_group))
-    scale = {f"_l{i}_{j}": F.lit(floors[i] if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-    estimate = _medians(rows, names).withColumns(scale)
-    for _ in range(steps):
-        estimate = cut(estimate)
-        cell = F.floor(F.log1p(F.col("distance2")) * _CELLS).cast("long")
-        near = _distances(rows.select("_grp", *names), estimate, names).withColumn("_cell", cell)
-        limit = _at_share(near, ["_grp"], "_cell", h)
-        kept = near.join(limit, "_grp").filter(F.col("_cell") <= F.col("_at"))
-        sums = [F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]
-        products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_q{i}_{j}") for i in range(p) for j in range(i + 1)]
-        estimate = _factored(kept.groupBy("_grp").agg(F.count(F.lit(1)).alias("_n"), *sums, *products), floors, factor)
-    return _distances(rows, cut(estimate), names).drop("_grp")
+    return _distances(rows, mcd_estimates(rows, features, h, steps), list(features)).drop("_grp")
 
 
 def quality_rules(docs: DataFrame, h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
