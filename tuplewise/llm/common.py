@@ -52,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, and the column's name; written once, so that all reads agree on the numbers."""
+    name = fresh(df, "_row")
+    return cut(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def id_of(column: str) -> "F.Column":
     """An id as the text under which crc32 splits are taken."""
     return F.col(column).cast("string")

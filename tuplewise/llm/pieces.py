@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import small_batches
+from tuplewise.llm.common import fresh, small_batches
 
 SPACE = "▁"
 #: stretches of text that a worker remembers, twice over; longer ones than KEPT_CHARS are not remembered
@@ -182,8 +182,9 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     clash = {"ids", "n_tokens", "round_trip"} & set(docs.columns)
-    docs = docs.drop(*clash).withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    schema = docs.drop("_t").withColumns({"ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "round_trip": F.lit(True)}).schema
+    schema = docs.drop(*clash).withColumns({"ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "round_trip": F.lit(True)}).schema
+    own_text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = docs.withColumn(fresh(docs, "_t"), own_text).drop(*clash)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
@@ -206,8 +207,8 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
     """``rows`` with the decoded text of their ``ids`` as column ``out``."""
     small_batches(rows.sparkSession)
     rows = rows.drop(out) if out in rows.columns and out != ids else rows
-    rows = rows.withColumn("_i", F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")))
-    schema = rows.drop("_i").withColumn(out, F.lit("")).schema
+    schema = rows.withColumn(out, F.lit("")).schema
+    rows = rows.withColumn(fresh(rows, "_i"), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)

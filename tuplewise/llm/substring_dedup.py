@@ -20,16 +20,16 @@ next kept word, or to the end of the text, so no blank lines build up; byte offs
 of what went are kept, with which ``restore`` puts the text together again.
 
 Plan.  A document sends each distinct unit once, as a 64-bit digest with its
-doc_id: 16 bytes, combined map-side into a count and a smallest doc_id for each
+doc_id: 16 bytes and a bit, combined map-side into a count and a smallest doc_id for each
 digest.  Digests of two documents or more go back to the documents that aren't the
 earliest, and texts meet their own repeats only.  A line that a third of all
 documents share is one row for each task in the first step, and in the second a
 skewed side against a unique one, which splits.
 
 Defined results: a null text stays null and has no units; rows with a null doc_id rank
-last and, as nothing ranks after them, keep what only they share; rows that repeat
-a doc_id count as one document, and repeats within each of them go; extra columns
-are kept; an empty table gives an empty result.
+last, and among themselves by a hash of their texts; rows that repeat a doc_id, and
+rows without one that repeat a text, count as one document, and repeats within each of
+them go; extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplewise.llm import kernel
-from tuplewise.llm.common import cut, small_batches
+from tuplewise.llm.common import cut, fresh, small_batches
 
 WINDOW = 12
 RUN_WORDS = 25
@@ -98,13 +98,14 @@ class Units:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, to, words in kernel.words_of(batch.column(1), kernel.SPACE_WORDS, True):
+        for row, to, words in kernel.words_of(batch.column(2), kernel.SPACE_WORDS, True):
             units = Units(words)
             order = np.lexsort((units.digest, units.text))
             digest, text = units.digest[order], units.text[order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (digest[1:] != digest[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row).take(pa.array(text[new])), pa.array(digest[new])], names=["doc_id", "digest"])
+            who = [batch.column(k).slice(row, to - row).take(pa.array(text[new])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*who, pa.array(digest[new])], names=["nameless", "id", "digest"])
 
 
 def repeated_runs(digest: np.ndarray, size: np.ndarray, line_end: np.ndarray, elsewhere: np.ndarray, run_words: int, line_words: int) -> np.ndarray:
@@ -172,20 +173,26 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int
     """``docs`` (doc_id, text, ...) with repeats removed from ``text``, and ``removed_from``/``removed_to`` (byte offsets in the original)."""
     spark = docs.sparkSession
     small_batches(spark)
-    key = F.col("doc_id").cast("long").alias("doc_id")
-    units = docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(_digests, "doc_id long, digest long")
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    rank = {"nameless": doc_id.isNull(), "id": F.coalesce(doc_id, F.xxhash64(text))}
+    units = docs.select(*[v.alias(k) for k, v in rank.items()], text.alias("text")).mapInArrow(_digests, "nameless boolean, id long, digest long")
     units = cut(units)  # 16 bytes a unit; read twice
-    shared = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("earliest")).filter("n > 1").select("digest", "earliest")
-    repeats = units.join(shared, "digest").filter(F.col("doc_id") > F.col("earliest"))
-    lists = repeats.groupBy("doc_id").agg(F.collect_list("digest").alias("_repeats"))
-    lists = lists.withColumnRenamed("doc_id", "_id")
+    own = F.struct("nameless", "id")
+    shared = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("earliest")).filter("n > 1").select("digest", "earliest")
+    repeats = units.join(shared, "digest").filter(own > F.col("earliest"))
+    by = {k: fresh(docs, f"_{k}") for k in rank}
+    lists = repeats.groupBy("nameless", "id").agg(F.collect_list("digest").alias(fresh(docs, "_repeats"))).withColumnsRenamed(by)
     others = [c for c in docs.columns if c not in ("text", "removed_from", "removed_to")]
-    rows = docs.join(lists, docs["doc_id"].cast("long") == lists["_id"], "left")
-    rows = rows.select(*[docs[c] for c in others], docs["text"].cast("string").alias("text"), "_repeats")
-    schema = rows.drop("_repeats").withColumns({"removed_from": F.array().cast("array<long>"), "removed_to": F.array().cast("array<long>")}).schema
+    rows = docs.withColumns({by[k]: v for k, v in rank.items()}).join(lists, [*by.values()], "left")
+    rows = rows.select(*map(_quoted, others), text.alias("text"), fresh(docs, "_repeats"))
+    schema = rows.drop(fresh(docs, "_repeats")).withColumns({"removed_from": F.array().cast("array<long>"), "removed_to": F.array().cast("array<long>")}).schema
     return rows.mapInArrow(_cleaned(run_words, line_words), schema)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def restore(kept: bytes, removed: list[tuple[int, bytes]]) -> bytes:
     """The original text from what was kept and the removed pieces with their original offsets."""
     out = kept
