@@ -1,8 +1,11 @@
 """A training-corpus pipeline: one operator after another, each over all that the one before kept.
 
 Rows keep the columns of documents until the last stage, which adds the token ids.
-A stage that rejects rows joins its verdicts back by row, so repeated ids can't
-multiply rows; one that rewrites texts keeps every row.
+A stage that rejects rows numbers them first and takes verdicts by number, so a verdict
+is about one row, whether its doc_id is null, repeated or shared with other texts. Of
+near duplicates the row of the smallest doc_id stays (null last; of equal ones the first
+row).  A stage that rewrites texts keeps every row.  Extra columns pass through, of
+whatever names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import shared_folder, table
+from tuplewise.llm.common import fresh, numbered, shared_folder, table
 from tuplewise.llm.decontaminate import decontaminate
 from tuplewise.llm.near_duplicates import near_duplicates
 from tuplewise.llm.pieces import encode_decode
@@ -21,27 +24,41 @@ from tuplewise.llm.queries import model_path
 from tuplewise.llm.substring_dedup import substring_dedup
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, rejected: str) -> DataFrame:
-    """The rows of ``docs`` but those whose doc_id has a verdict that says ``rejected``; rows of a null id stay."""
-    gone = verdicts.filter(rejected).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+def _as_ids(rows: DataFrame, number: str, *columns: str) -> DataFrame:
+    """``columns`` of ``rows`` with the row's number as doc_id."""
+    return rows.select(F.col(number).alias("doc_id"), *columns)
+
+
+def _without(rows: DataFrame, number: str, verdicts: DataFrame, rejected: str) -> DataFrame:
+    """The rows but those whose verdict (doc_id: the row's number) says ``rejected``."""
+    gone = verdicts.filter(rejected).select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").drop(number)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality_rules(docs), "NOT kept")
+    rows, number = numbered(docs)
+    return _without(rows, number, quality_rules(_as_ids(rows, number, "text", "lang", "source")), "NOT kept")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs), "NOT kept")
+    rows, number = numbered(docs)
+    groups = near_duplicates(_as_ids(rows, number, "text")).select(F.col("doc_id").alias(number), F.col("component_id").alias("group"))
+    ids = rows.select(number, F.col("doc_id").cast("long").alias("id")).join(groups, number)
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", F.col(number).alias("first")))
+    stay = ids.groupBy("group").agg(first.alias("x")).select(F.col("x.first").alias(number))
+    return rows.join(stay, number, "left_semi").drop(number)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    clash = {c: fresh(docs, c) for c in ("removed_from", "removed_to") if c in docs.columns}
+    out = substring_dedup(docs.withColumnsRenamed(clash)).drop("removed_from", "removed_to").withColumnsRenamed({v: k for k, v in clash.items()})
+    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    rows, number = numbered(docs)
+    return _without(rows, number, decontaminate(_as_ids(rows, number, "text"), table(spark, sf_dir, "benchmark")), "contaminated")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
