@@ -1,18 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.
-The toxic one holds what toxic texts repeat and ordinary texts don't (byte grams
-whose document frequency is at least ``FLOOR`` in the one and an eighth of that or less
-in the other), followed by the ordinary dictionary's content, so that the two differ
-in the toxic part alone.  A text is lower-cased (A-Z), cut into windows of ``WINDOW``
-bytes that overlap a little, and each window compressed with both.  What the toxic
-dictionary saves is summed up in four features, which a logistic calibration, fitted
-to the training labels and weighted to their full counts, turns into a score.
+Two dictionaries are trained by zstandard on whole texts: one on ordinary text
+(``BASE_BYTES``), one on toxic text (``TOXIC_BYTES``, of segments short enough for words
+and phrases).  One compressor has the ordinary dictionary, the other has both, so that
+the two differ in the toxic part alone.  A text is lower-cased (A-Z), cut into windows of
+``WINDOW`` bytes that overlap a little, and each window compressed with both.  How much
+shorter the windows get with the toxic dictionary is summed up in a few features, which
+a logistic calibration, weighted to the full counts of labels, turns into a score.
+
+Calibration is cross-fitted: the labelled sample is dealt into the remainders of
+crc32(doc_id as text) mod 4, save the held-out one, and a text's features come from
+dictionaries trained without its part.  The dictionaries that score are then trained on
+the whole sample.  Sizes, segment lengths and features were chosen by the same
+cross-validation; no held-out label took part.
 
 Only the labelled sample is bounded: ``SAMPLE`` documents of each label, those of the
-smallest hash of their ids.  Their grams are counted by the executors over whole
-texts.  Scoring is map-only, over all of every text; two dictionaries of some
-kilobytes are broadcast.
+smallest hash of their ids, or as many of them as have ``SAMPLE_BYTES`` of text together
+(one at least); a repeated doc_id counts once.  Texts are never cut.  Scoring is
+map-only, over all of every text; two dictionaries of some kilobytes are broadcast.
 
 Labels are read from rows whose crc32(doc_id as text) mod 4 isn't ``HELD_OUT`` alone;
 nothing but the text enters a score.
@@ -20,13 +25,13 @@ nothing but the text enters a score.
 Defined results: null and empty texts score what no saving scores; a document of
 several labels counts as toxic if one of them says so; null labels are no labels;
 without labels of both kinds the score is the share of toxic ones (0.5 without any);
+where texts are too few for the trainer, a dictionary is the end of the texts joined;
 repeated rows are rows of their own; extra columns are ignored; an empty table gives
 an empty result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,70 +40,39 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import id_of, small_batches
+from tuplewise.llm.common import cut, id_of, small_batches
 
 HELD_OUT, FOLDS = 2, 4
-SAMPLE = 3000
-GRAM, FLOOR, RATIO = 7, 0.015, 8.0
+SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
+BASE_BYTES, TOXIC_BYTES = 112640, 8192
+#: the trainer's parameters for the toxic dictionary: bytes of a segment, and of what it counts
+SEGMENT, COUNTED = 20, 6
 WINDOW, OVERLAP = 256, 16
-BASE_BYTES, BASE_WINDOW = 112640, 1024
 THRESHOLD = 0.3
+N_FEATURES = 7
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def fold(column: str = "doc_id"):
+    return F.pmod(F.crc32(id_of(column).cast("binary")), F.lit(FOLDS))
+
+
 def held_out(column: str = "doc_id"):
-    return F.coalesce(F.pmod(F.crc32(id_of(column).cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+    return F.coalesce(fold(column) == HELD_OUT, F.lit(False))
 
 
 def _lowered(text: str | None) -> bytes:
     return (text or "").encode().translate(_LOWER)
 
 
-def text_grams(data: bytes) -> np.ndarray:
-    """The distinct ``GRAM``-byte strings of a text, each packed into a number."""
-    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-    n = len(raw) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    packed = raw[:n].copy()
-    for k in range(1, GRAM):
-        packed = packed << 8 | raw[k : k + n]
-    return np.unique(packed)
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        toxic = batch.column(1).to_pylist()
-        found = [text_grams(_lowered(t)) for t in batch.column(0).to_pylist()]
-        out = []
-        for label in (0, 1):
-            grams, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[g for g, t in zip(found, toxic, strict=True) if t == label]]), return_counts=True)
-            out.append((grams, n * (label == 0), n * (label == 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["gram", "ordinary", "toxic"])
-
-
-def joined_grams(grams: list[tuple[int, int]]) -> bytes:
-    """Dictionary content from (packed gram, document frequency): overlapping grams as one run, the most frequent last."""
-    left = {g.to_bytes(GRAM, "big"): n for g, n in grams}
-    order = sorted(left, key=lambda g: (-left[g], g))
-    after, before = defaultdict(list), defaultdict(list)
-    for g in order:
-        after[g[:-1]].append(g)
-        before[g[1:]].append(g)
-    runs: list[tuple[int, bytes]] = []
-    for first in order:
-        if first not in left:
-            continue
-        run, weight = first, left.pop(first)
-        while nxt := next((g for g in after[run[1 - GRAM :]] if g in left), None):
-            run += nxt[-1:]
-            del left[nxt]
-        while nxt := next((g for g in before[run[: GRAM - 1]] if g in left), None):
-            run = nxt[:1] + run
-            del left[nxt]
-        runs.append((weight, run))
-    return b"".join(r for _, r in sorted(runs))
+def trained(size: int, texts: list[bytes], **parameters: int) -> bytes:
+    """A dictionary of at most ``size`` bytes, trained on whole texts."""
+    texts = sorted(t for t in texts if t)
+    try:
+        return zstandard.train_dictionary(size, texts, **parameters).as_bytes()
+    except zstandard.ZstdError:  # too few texts for the trainer
+        return b"".join(texts)[-size:]
 
 
 class Model:
@@ -119,8 +93,12 @@ class Model:
     def features(self, text: str | None) -> list[float]:
         data = _lowered(text)
         saved = [len(self.first(w)) - len(self.second(w)) for k in range(0, len(data), WINDOW) for w in (data[max(0, k - OVERLAP) : k + WINDOW],)]
-        gain = np.maximum(np.array(saved or [0]), 0)
-        return [float(np.log1p(gain.sum())), float(gain.max()), float(gain.mean()), float(np.log1p((gain >= 3).sum()))]
+        gain = np.array(saved or [0])
+        more = np.maximum(gain, 0)
+        return [
+            float(np.log1p(more.sum())), float(more.max()), float(gain.mean()), float(np.log1p((gain >= 3).sum())),
+            float(np.log1p(len(gain))), float(np.log1p((gain >= 6).sum())), float((gain >= 4).mean()),
+        ]
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         w = np.array(self.weights)
@@ -142,46 +120,66 @@ def calibrated(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> l
     return [float(w[0] - slopes @ mean), *map(float, slopes)]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fitted(texts: list[bytes], toxic: list[int]) -> Model:
+    """Both dictionaries, without weights."""
+    of = lambda label: [t for t, y in zip(texts, toxic, strict=True) if y == label]
+    return Model(trained(BASE_BYTES, of(0)), trained(TOXIC_BYTES, of(1), d=COUNTED, k=SEGMENT) if any(toxic) else b"")
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """(doc_id, toxic, part, text), stored: at most ``sample`` documents of each label, and ``sample_bytes`` of their text."""
+    picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # at most 2 * sample ids
+    found = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = cut(found.select("doc_id", "toxic", fold().cast("int").alias("part"), "text"))
+    sizes = rows.select("doc_id", "toxic", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # at most 2 * sample rows
+    ids = []
+    for label in (0, 1):
+        left = sample_bytes
+        for r in sorted((r for r in sizes if r["toxic"] == label), key=lambda r: (r["h"], r["doc_id"])):
+            if left < r["n"] and left < sample_bytes:
+                break
+            left -= r["n"]
+            ids.append((r["doc_id"],))
+    if len(ids) == len(sizes):
+        return rows
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits the model to ``labels`` (doc_id, toxic) outside the held-out fold."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.filter(~held_out()).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 2 * sample ids
-    rows = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "toxic")
-    counts = rows.mapInArrow(_count_grams, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    n0, n1 = (max(1, min(total.get(t, 0), sample)) for t in (0, 1))
-    telling = (F.col("toxic") >= max(3, FLOOR * n1)) & (F.col("toxic") / n1 >= RATIO * (F.col("ordinary") + 1) / (n0 + 1))
-    grams = [(r["gram"], r["toxic"]) for r in counts.filter(telling).collect()]
-    # one window of each ordinary text, from a place that the text's hash picks
-    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - BASE_WINDOW, F.lit(1))).cast("int")
-    windows = rows.filter("toxic = 0").select(F.substring("text", place + 1, F.lit(BASE_WINDOW)).alias("w")).collect()
-    samples = sorted(_lowered(r["w"]) for r in windows)
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer
-        base = b"".join(samples)[:BASE_BYTES]
-    model = Model(base, joined_grams(grams))
-    fitted = rows.mapInArrow(_featured(docs.sparkSession.sparkContext.broadcast(model)), "toxic int, f0 double, f1 double, f2 double, f3 double").toPandas()
     share = total.get(1, 0) / sum(total.values()) if total else 0.5
-    if fitted["toxic"].nunique() < 2:
-        model.weights = [float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0, 0.0, 0.0]
+    rows = labelled_sample(docs, known, sample, sample_bytes)
+    table = rows.select("part", "toxic", "text").toArrow()  # at most 2 * sample_bytes, or a longer text of each label
+    parts, toxic = table["part"].to_pylist(), table["toxic"].to_pylist()
+    texts = [_lowered(t) for t in table["text"].to_pylist()]
+    model = fitted(texts, toxic)
+    if len(set(toxic)) < 2:
+        model.weights = [float(np.log((share + 1e-6) / (1 - share + 1e-6)))] + [0.0] * N_FEATURES
         return model
-    toxic = fitted["toxic"].to_numpy()
-    weight = np.where(toxic == 1, total[1] / n1, total[0] / n0)
-    model.weights = calibrated(fitted[["f0", "f1", "f2", "f3"]].to_numpy(), toxic, weight)
+    without = {part: [(t, y) for t, y, p in zip(texts, toxic, parts, strict=True) if p != part] for part in set(parts)}
+    by_part = spark.sparkContext.broadcast({part: fitted(*map(list, zip(*kept, strict=True))) if kept else model for part, kept in without.items()})
+    columns = ", ".join(f"f{k} double" for k in range(N_FEATURES))
+    seen = rows.select("part", "toxic", "text").mapInArrow(_featured(by_part), f"toxic int, {columns}").toArrow()
+    y = seen["toxic"].to_numpy()
+    weight = np.array([total[t] / toxic.count(t) for t in (0, 1)])[y]
+    model.weights = calibrated(np.stack([seen[f"f{k}"].to_numpy() for k in range(N_FEATURES)], axis=1), y, weight)
     return model
 
 
-def _featured(shared):
+def _featured(by_part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value.ordinary, shared.value.toxic).opened()
+        models = {part: Model(m.ordinary, m.toxic).opened() for part, m in by_part.value.items()}
         for batch in batches:
-            found = np.array([model.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, found.T)], names=["toxic", "f0", "f1", "f2", "f3"])
+            pairs = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            found = np.array([models[part].features(t) for part, t in pairs]).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, found.T)], names=["toxic", *[f"f{k}" for k in range(N_FEATURES)]])
 
     return run
 
@@ -193,7 +191,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.value.ordinary, model.value.toxic, model.value.weights).opened()
         for batch in batches:
-            found = np.array([own.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, 4)
+            found = np.array([own.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.scores(found))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
