@@ -1,23 +1,23 @@
 """Toxicity by compression distance.
 
-Two dictionaries are trained by zstandard on whole texts: one on ordinary text
-(``BASE_BYTES``), one on toxic text (``TOXIC_BYTES``, of segments short enough for words
-and phrases).  One compressor has the ordinary dictionary, the other has both, so that
-the two differ in the toxic part alone.  A text is lower-cased (A-Z), cut into windows of
-``WINDOW`` bytes that overlap a little, and each window compressed with both.  How much
-shorter the windows get with the toxic dictionary is summed up in a few features, which
-a logistic calibration, weighted to the full counts of labels, turns into a score.
-
-Calibration is cross-fitted: the labelled sample is dealt into the remainders of
-crc32(doc_id as text) mod 4, save the held-out one, and a text's features come from
-dictionaries trained without its part.  The dictionaries that score are then trained on
-the whole sample.  Sizes, segment lengths and features were chosen by the same
-cross-validation; no held-out label took part.
+Dictionaries are trained by zstandard on whole texts: one on ordinary text
+(``BASE_BYTES``), and on toxic text one for each of ``PARTS`` parts of the sample that it
+leaves out (``TOXIC_BYTES``, of segments short enough for words).  One compressor has the
+ordinary dictionary, the others have that and a toxic one, so that they differ in the
+toxic part alone.  A text is lower-cased (A-Z), cut into windows of ``WINDOW`` bytes that
+overlap a little, and each window compressed with all.  How much shorter the windows get
+with a toxic dictionary is summed up in a few features, which a logistic calibration,
+weighted to the full counts of labels, turns into a score; the mean over the toxic
+dictionaries counts.
+
+Calibration is cross-fitted: features of a part come from dictionaries, ordinary and
+toxic, trained without it.  Sizes, segment lengths, features and the number of parts were
+chosen by cross-validation within the training folds; no held-out label took part.
 
 Only the labelled sample is bounded: ``SAMPLE`` documents of each label, those of the
 smallest hash of their ids, or as many of them as have ``SAMPLE_BYTES`` of text together
 (one at least); a repeated doc_id counts once.  Texts are never cut.  Scoring is
-map-only, over all of every text; two dictionaries of some kilobytes are broadcast.
+map-only, over all of every text; dictionaries of some kilobytes are broadcast.
 
 Labels are read from rows whose crc32(doc_id as text) mod 4 isn't ``HELD_OUT`` alone;
 nothing but the text enters a score.
@@ -44,9 +44,10 @@ from tuplewise.llm.common import cut, id_of, small_batches
 
 HELD_OUT, FOLDS = 2, 4
 SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
-BASE_BYTES, TOXIC_BYTES = 112640, 8192
-#: the trainer's parameters for the toxic dictionary: bytes of a segment, and of what it counts
-SEGMENT, COUNTED = 20, 6
+BASE_BYTES, TOXIC_BYTES = 112640, 4096
+#: the trainer's parameters for a toxic dictionary: bytes of a segment, and of what it counts
+SEGMENT, COUNTED = 12, 6
+PARTS = 4
 WINDOW, OVERLAP = 256, 16
 THRESHOLD = 0.3
 N_FEATURES = 7
@@ -54,12 +55,8 @@ N_FEATURES = 7
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fold(column: str = "doc_id"):
-    return F.pmod(F.crc32(id_of(column).cast("binary")), F.lit(FOLDS))
-
-
 def held_out(column: str = "doc_id"):
-    return F.coalesce(fold(column) == HELD_OUT, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(id_of(column).cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
 def _lowered(text: str | None) -> bytes:
@@ -76,9 +73,9 @@ def trained(size: int, texts: list[bytes], **parameters: int) -> bytes:
 
 
 class Model:
-    """Two dictionaries and the calibration of what they save."""
+    """An ordinary dictionary, toxic ones, and the calibration of what these save."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: list[float] | None = None) -> None:
+    def __init__(self, ordinary: bytes, toxic: list[bytes], weights: list[float] | None = None) -> None:
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
 
     def opened(self) -> "Model":
@@ -87,22 +84,25 @@ class Model:
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             return zstandard.ZstdCompressor(level=6, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self.first, self.second = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
+        self.plain, self.others = compressor(self.ordinary), [compressor(t + self.ordinary) for t in self.toxic]
         return self
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, text: str | None) -> np.ndarray:
+        """A row of features for each toxic dictionary."""
         data = _lowered(text)
-        saved = [len(self.first(w)) - len(self.second(w)) for k in range(0, len(data), WINDOW) for w in (data[max(0, k - OVERLAP) : k + WINDOW],)]
-        gain = np.array(saved or [0])
-        more = np.maximum(gain, 0)
-        return [
-            float(np.log1p(more.sum())), float(more.max()), float(gain.mean()), float(np.log1p((gain >= 3).sum())),
-            float(np.log1p(len(gain))), float(np.log1p((gain >= 6).sum())), float((gain >= 4).mean()),
-        ]
+        windows = [data[max(0, k - OVERLAP) : k + WINDOW] for k in range(0, max(len(data), 1), WINDOW)]
+        plain = [len(self.plain(w)) for w in windows]
+        out = []
+        for other in self.others:
+            gain = np.array([n - len(other(w)) for n, w in zip(plain, windows, strict=True)])
+            more = np.maximum(gain, 0)
+            out.append([np.log1p(more.sum()), more.max(), gain.mean(), np.log1p((gain >= 3).sum()), np.log1p(len(gain)), np.log1p((gain >= 6).sum()), (gain >= 4).mean()])
+        return np.array(out, dtype=np.float64)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
+        """From features (text, dictionary, feature), the mean over the dictionaries."""
         w = np.array(self.weights)
-        return 1 / (1 + np.exp(-np.clip(w[0] + features @ w[1:], -500, 500)))
+        return (1 / (1 + np.exp(-np.clip(w[0] + features @ w[1:], -500, 500)))).mean(axis=1)
 
 
 def calibrated(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -120,19 +120,13 @@ def calibrated(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> l
     return [float(w[0] - slopes @ mean), *map(float, slopes)]
 
 
-def fitted(texts: list[bytes], toxic: list[int]) -> Model:
-    """Both dictionaries, without weights."""
-    of = lambda label: [t for t, y in zip(texts, toxic, strict=True) if y == label]
-    return Model(trained(BASE_BYTES, of(0)), trained(TOXIC_BYTES, of(1), d=COUNTED, k=SEGMENT) if any(toxic) else b"")
-
-
 def labelled_sample(docs: DataFrame, known: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
     """(doc_id, toxic, part, text), stored: at most ``sample`` documents of each label, and ``sample_bytes`` of their text."""
     picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most 2 * sample ids
     found = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = cut(found.select("doc_id", "toxic", fold().cast("int").alias("part"), "text"))
+    rows = cut(found.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).cast("int").alias("part"), "text"))
     sizes = rows.select("doc_id", "toxic", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # at most 2 * sample rows
     ids = []
     for label in (0, 1):
@@ -159,12 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     table = rows.select("part", "toxic", "text").toArrow()  # at most 2 * sample_bytes, or a longer text of each label
     parts, toxic = table["part"].to_pylist(), table["toxic"].to_pylist()
     texts = [_lowered(t) for t in table["text"].to_pylist()]
-    model = fitted(texts, toxic)
+    of = lambda label, part=None: [t for t, y, p in zip(texts, toxic, parts, strict=True) if y == label and p != part]
     if len(set(toxic)) < 2:
-        model.weights = [float(np.log((share + 1e-6) / (1 - share + 1e-6)))] + [0.0] * N_FEATURES
-        return model
-    without = {part: [(t, y) for t, y, p in zip(texts, toxic, parts, strict=True) if p != part] for part in set(parts)}
-    by_part = spark.sparkContext.broadcast({part: fitted(*map(list, zip(*kept, strict=True))) if kept else model for part, kept in without.items()})
+        return Model(b"", [b""], [float(np.log((share + 1e-6) / (1 - share + 1e-6)))] + [0.0] * N_FEATURES)
+    model = Model(trained(BASE_BYTES, of(0)), [trained(TOXIC_BYTES, of(1, part), d=COUNTED, k=SEGMENT) for part in range(PARTS)])
+    by_part = spark.sparkContext.broadcast([Model(trained(BASE_BYTES, of(0, part)), [model.toxic[part]]) for part in range(PARTS)])
     columns = ", ".join(f"f{k} double" for k in range(N_FEATURES))
     seen = rows.select("part", "toxic", "text").mapInArrow(_featured(by_part), f"toxic int, {columns}").toArrow()
     y = seen["toxic"].to_numpy()
@@ -175,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
 
 def _featured(by_part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = {part: Model(m.ordinary, m.toxic).opened() for part, m in by_part.value.items()}
+        models = [Model(m.ordinary, m.toxic).opened() for m in by_part.value]
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
             found = np.array([models[part].features(t) for part, t in pairs]).reshape(-1, N_FEATURES)
@@ -191,7 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.value.ordinary, model.value.toxic, model.value.weights).opened()
         for batch in batches:
-            found = np.array([own.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, N_FEATURES)
+            found = np.array([own.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, len(own.toxic), N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.scores(found))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
