@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,16 +45,41 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+class _Open(threading.local):
+    """The tables of each ``temporary`` block that is open in this thread."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
+
+
+def cut(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     The lineage ends there; a lost executor costs a reread, never a recomputation.
+    Within ``temporary`` the table goes at the block's end, unless it is ``lasting``.
     """
     path = shared_folder(df.sparkSession)
+    if _open.blocks and not lasting:
+        _open.blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is ``cut`` within, once nothing reads it any more: what leaves the block must be lasting."""
+    _open.blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _open.blocks.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that ``df`` has no column of, in whatever case."""
     taken = {c.lower() for c in df.columns}
@@ -60,12 +88,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a number for each row, and the column's name; written once, so that all reads agree on the numbers."""
-    name = fresh(df, "_row")
-    return cut(df.withColumn(name, F.monotonically_increasing_id())), name
-
-
 def id_of(column: str) -> "F.Column":
     """An id as the text under which crc32 splits are taken."""
     return F.col(column).cast("string")

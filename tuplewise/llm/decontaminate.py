@@ -244,7 +244,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
     Returns a row per document: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated (hit words are a twentieth of the text or more), the sorted
-    item ids and the hit spans as word positions.  See the module's docstring.
+    item ids, the hit spans as word positions, and xxhash64 of the text.  See the
+    module's docstring.
     """
     if not 0 < gram <= span:
         raise ValueError("gram must lie between 1 and span")
@@ -252,21 +253,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     many = items.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
     if many <= block_bytes:
         only = spark.sparkContext.broadcast(Fingerprints([tuple(r) for r in items.collect()], span, gram))
-        return rows.mapInArrow(_marker(only), _SCHEMA)
-    # More than one block: spans of the same document meet again by row number, never its text.
-    rows = rows.withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")))
+        return rows.mapInArrow(_keyed(_marker(only)), _SCHEMA + ", text_hash long")
+    # More than one block: spans of the same document meet again by its id and hash, never its text.
     parts = []
     for block in _blocks(items, block_bytes):
         table = spark.sparkContext.broadcast(Fingerprints(block, span, gram))
-        keyed = rows.select("doc_id", "text", F.col("doc_key.h").alias("h"))
-        parts.append(keyed.mapInArrow(_keyed(_marker(table)), _SCHEMA + ", text_key long"))
+        parts.append(rows.mapInArrow(_keyed(_marker(table)), _SCHEMA + ", text_hash long"))
     every = parts[0].withColumn("block", F.lit(0))
     for k, part in enumerate(parts[1:], 1):
         every = every.unionByName(part.withColumn("block", F.lit(k)))
-    merged = every.groupBy("doc_id", "text_key").agg(
+    merged = every.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("block") == 0, 1)).alias("copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -288,7 +288,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
-        "items", F.col("s.a").alias("hit_from"), F.col("s.b").alias("hit_to"),
+        "items", F.col("s.a").alias("hit_from"), F.col("s.b").alias("hit_to"), "text_hash",
     )
 
 
@@ -297,7 +297,7 @@ def _keyed(mark):
         for batch in batches:
             row = 0
             for out in mark(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2).slice(row, out.num_rows)], names=[*out.schema.names, "text_key"])
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2).slice(row, out.num_rows)], names=[*out.schema.names, "text_hash"])
                 row += out.num_rows
 
     return run

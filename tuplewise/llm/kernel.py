@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
 

@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplewise.llm import kernel
-from tuplewise.llm.common import cut, small_batches
+from tuplewise.llm.common import cut, small_batches, temporary
 
 BANDS, ROWS = 32, 4
 BIN_BITS = 7  # 2**7 bins = BANDS * ROWS
@@ -285,12 +285,26 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable), kept."""
+    """A row per document (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable), kept.
+
+    Further columns: ``text_hash`` (xxhash64 of the text) and ``group``, a number of the
+    component that also tells apart components without a doc_id (null without shingles).
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = cut(texts.mapInArrow(_sketches, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"))
+    with temporary(spark):
+        of_node = cut(_grouped(texts, rows), lasting=True)
+    out = rows.select("doc_id", "n_shingles", "node", "text_hash").join(of_node, "node", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", F.col("comp").alias("group"))
+
+
+def _grouped(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, comp, component_id) of each class of equal sets."""
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(rep.alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "bands"))
@@ -307,7 +321,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("node", "rep")
     named = named.withColumn("comp", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(smallest, "comp").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.join(smallest, "comp").select("node", "comp", "component_id")

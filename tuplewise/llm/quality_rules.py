@@ -38,7 +38,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import cut
+from tuplewise.llm.common import cut, temporary
 
 #: characters that separate words, and characters that count as symbols (fixed values)
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,7 +82,7 @@ def _repeated(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source) with the base statistics instead of the text."""
+    """``docs`` (doc_id, text, lang, source) with the base statistics and a hash instead of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -91,6 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         let(words, lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -100,7 +101,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long").alias("n_upper"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
-    out = named.select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "n_upper", "l.n_lines")
+    out = named.select("doc_id", "lang", "source", "text_hash", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "n_upper", "l.n_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -269,7 +270,9 @@ def mcd_distances(rows: DataFrame, features: dict[str, float], h: float = H, ste
     ``features`` gives each column's floor on the standard deviation.
     """
     rows = cut(_grouped(rows, min_group))
-    return _distances(rows, mcd_estimates(rows, features, h, steps), list(features)).drop("_grp")
+    with temporary(rows.sparkSession):
+        estimate = cut(mcd_estimates(rows, features, h, steps), lasting=True)
+    return _distances(rows, estimate, list(features)).drop("_grp")
 
 
 def quality_rules(docs: DataFrame, h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
@@ -279,5 +282,5 @@ def quality_rules(docs: DataFrame, h: float = H, steps: int = STEPS, min_group:
     far = F.col("distance2") > chi2_point(1 - tail, len(FEATURES))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "lang", "source", "n_upper", "n_lines", *FEATURES, "distance2",
+        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "lang", "source", "n_upper", "n_lines", *FEATURES, "distance2", "text_hash",
     )

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplewise.llm import kernel
-from tuplewise.llm.common import cut, fresh, small_batches
+from tuplewise.llm.common import cut, fresh, small_batches, temporary
 
 WINDOW = 12
 RUN_WORDS = 25
@@ -176,12 +176,15 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     rank = {"nameless": doc_id.isNull(), "id": F.coalesce(doc_id, F.xxhash64(text))}
     units = docs.select(*[v.alias(k) for k, v in rank.items()], text.alias("text")).mapInArrow(_digests, "nameless boolean, id long, digest long")
-    units = cut(units)  # 16 bytes a unit; read twice
-    own = F.struct("nameless", "id")
-    shared = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("earliest")).filter("n > 1").select("digest", "earliest")
-    repeats = units.join(shared, "digest").filter(own > F.col("earliest"))
+    least = lambda nameless: F.min(F.when(F.col("nameless") == nameless, F.col("id")))  # noqa: E731  longs, which are combined in place
     by = {k: fresh(docs, f"_{k}") for k in rank}
-    lists = repeats.groupBy("nameless", "id").agg(F.collect_list("digest").alias(fresh(docs, "_repeats"))).withColumnsRenamed(by)
+    with temporary(spark):
+        units = cut(units)  # 16 bytes a unit; read twice
+        shared = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), least(False).alias("named"), least(True).alias("rest")).filter("n > 1").drop("n")
+        later = F.when(F.col("nameless"), F.col("named").isNotNull() | (F.col("id") > F.col("rest"))).otherwise(F.col("id") > F.col("named"))
+        repeats = units.join(shared, "digest").filter(later)
+        lists = repeats.groupBy("nameless", "id").agg(F.collect_list("digest").alias(fresh(docs, "_repeats"))).withColumnsRenamed(by)
+        lists = cut(lists, lasting=True)
     others = [c for c in docs.columns if c not in ("text", "removed_from", "removed_to")]
     rows = docs.withColumns({by[k]: v for k, v in rank.items()}).join(lists, [*by.values()], "left")
     rows = rows.select(*map(_quoted, others), text.alias("text"), fresh(docs, "_repeats"))
