@@ -1,21 +1,24 @@
 """A training-corpus pipeline: one operator after another, each over all that the one before kept.
 
 Rows keep the columns of documents until the last stage, which adds the token ids.
-A stage that rejects rows numbers them first and takes verdicts by number, so a verdict
-is about one row, whether its doc_id is null, repeated or shared with other texts. Of
-near duplicates the row of the smallest doc_id stays (null last; of equal ones the first
-row).  A stage that rewrites texts keeps every row.  Extra columns pass through, of
-whatever names; an empty table stays empty.
+A stage that rejects rows finds them by doc_id (null is a value of its own), a hash of
+the text and whatever else its verdict depends on, so a verdict is about one text,
+whether its doc_id is null, repeated or shared with other texts.  Of near duplicates one
+row stays, that of the smallest doc_id (null last; then of the smallest hash); rows that
+are equal in both are one document, of which one row stays.  A stage that rewrites texts
+keeps every row.  Extra columns pass through, of whatever names; an empty table stays
+empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import fresh, numbered, shared_folder, table
+from tuplewise.llm.common import cut, fresh, shared_folder, table
 from tuplewise.llm.decontaminate import decontaminate
 from tuplewise.llm.near_duplicates import near_duplicates
 from tuplewise.llm.pieces import encode_decode
@@ -24,29 +27,36 @@ from tuplewise.llm.queries import model_path
 from tuplewise.llm.substring_dedup import substring_dedup
 
 
-def _as_ids(rows: DataFrame, number: str, *columns: str) -> DataFrame:
-    """``columns`` of ``rows`` with the row's number as doc_id."""
-    return rows.select(F.col(number).alias("doc_id"), *columns)
+def _same(docs: DataFrame, table: DataFrame, *more: str) -> tuple[DataFrame, Column]:
+    """``table`` (doc_id, text_hash, *more) under names that ``docs`` lacks, and the condition by which rows of ``docs`` are its."""
+    own = {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(docs["text"].cast("string"))} | {c: docs[c].cast("string") for c in more}
+    named = table.select(*[F.col(c).alias(fresh(docs, f"_same_{c}")) for c in own])
+    return named, reduce(Column.__and__, [v.eqNullSafe(named[fresh(docs, f"_same_{c}")]) for c, v in own.items()])
 
 
-def _without(rows: DataFrame, number: str, verdicts: DataFrame, rejected: str) -> DataFrame:
-    """The rows but those whose verdict (doc_id: the row's number) says ``rejected``."""
-    gone = verdicts.filter(rejected).select(F.col("doc_id").alias(number))
-    return rows.join(gone, number, "left_anti").drop(number)
+def _without(docs: DataFrame, verdicts: DataFrame, rejected: str, *more: str) -> DataFrame:
+    gone, condition = _same(docs, verdicts.filter(rejected).select("doc_id", "text_hash", *more).distinct(), *more)
+    return docs.join(gone, condition, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, number = numbered(docs)
-    return _without(rows, number, quality_rules(_as_ids(rows, number, "text", "lang", "source")), "NOT kept")
+    return _without(docs, quality_rules(docs), "NOT kept", "lang", "source")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, number = numbered(docs)
-    groups = near_duplicates(_as_ids(rows, number, "text")).select(F.col("doc_id").alias(number), F.col("component_id").alias("group"))
-    ids = rows.select(number, F.col("doc_id").cast("long").alias("id")).join(groups, number)
-    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", F.col(number).alias("first")))
-    stay = ids.groupBy("group").agg(first.alias("x")).select(F.col("x.first").alias(number))
-    return rows.join(stay, number, "left_semi").drop(number)
+    rows = near_duplicates(docs).select("doc_id", "text_hash", "group")
+    counted = rows.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "copies")).alias("x")
+    stay = counted.filter("group IS NOT NULL").groupBy("group").agg(first).select("x.doc_id", "x.text_hash", "x.copies")
+    alone = counted.filter("group IS NULL").select("doc_id", "text_hash", F.lit(1).alias("copies"))  # without words: linked with nothing
+    stay = cut(stay.union(alone))
+    single, condition = _same(docs, stay.filter("copies = 1"))
+    out = docs.join(single, condition, "left_semi")
+    if not stay.filter("copies > 1").limit(1).count():
+        return out
+    repeated, condition = _same(docs, stay.filter("copies > 1"))
+    key = {fresh(docs, "_id"): F.col("doc_id").cast("long"), fresh(docs, "_hash"): F.xxhash64(F.col("text").cast("string"))}
+    return out.unionByName(docs.join(repeated, condition, "left_semi").withColumns(key).dropDuplicates(list(key)).drop(*key))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +67,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, number = numbered(docs)
-    return _without(rows, number, decontaminate(_as_ids(rows, number, "text"), table(spark, sf_dir, "benchmark")), "contaminated")
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "contaminated")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
