@@ -238,4 +238,27 @@ def test_plans_push_filters_and_need_no_python(spark):
 
 def test_definitions():
     text = tw.definitions()
-    assert "def left_join(self, other, keys=None)" in text and "def project(" in text
+    assert "    def left_join(self, other: Operand, keys: Keys = None) -> Relation: ..." in text
+    assert "def project(operand: Operand, attrs: Iterable[str]) -> Relation: ..." in text and "Aggregator = str | " in text
+
+
+def test_python_functions_and_nested_constants(spark):
+    s = Relation.of([{"k": "a", "v": 1}, {"k": "a", "v": None}, {"k": "b", "v": 3}])
+    median = tw.group_function("double")(lambda rows: float(len([r for r in rows if r["v"] is not None])))
+    assert s.summarize(["k"], {"m": median, "n": "count"}).is_equal([{"k": "a", "m": 1.0, "n": 2}, {"k": "b", "m": 1.0, "n": 1}])
+    assert s.restrict({"k": "z"}).summarize([], {"m": median}).to_array() == []
+    shown = tw.value_function("string")(lambda v: f"<{v}>")
+    assert s.transform({"v": shown}).is_equal([{"k": "a", "v": "<1>"}, {"k": "a", "v": "<None>"}, {"k": "b", "v": "<3>"}])
+    assert s.project(["k"]).transform([shown, shown]).is_equal([{"k": "<<a>>"}, {"k": "<<b>>"}])
+    nested = s.restrict({"k": "b"}).constants({"t": {"x": 1, "y": [1, 2]}, "r": Relation.of([{"p": 1}, {"p": 2}])}).one()
+    assert nested == {"k": "b", "v": 3, "t": {"x": 1, "y": [1, 2]}, "r": [{"p": 1}, {"p": 2}]}
+    assert Relation.of([{"k": 1, "v": i, "at": -i} for i in range(5)]).y_by_x("v", "k", "at") == {"1": 0}
+
+
+def test_products_look_for_duplicates_in_the_operands(spark):
+    a, b = Relation.of([{"k": 1}, {"k": 1}, {"k": 2}]), Relation.of([{"k": 9, "c": "x"}, {"k": 8, "c": "x"}])
+    out = a.cross_product(b)
+    assert sorted(map(str, out.to_array())) == ["{'k': 1, 'c': 'x'}", "{'k': 2, 'c': 'x'}"]
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Cross") < plan.index("Aggregate")  # the join is above
+    assert a.cross_product([{"k": 5}, {"k": 6}]).is_equal([{"k": 1}, {"k": 2}]) and a.project(["k"]).cross_product([]).to_array() == []

@@ -39,6 +39,10 @@ class Tuple:
         raise TypeError("attributes of a tuple are columns; name them one by one")
 
 
+def plain_row(row: Any) -> dict:
+    return row.asDict(recursive=True) if hasattr(row, "asDict") else dict(row)
+
+
 class RowFunction:
     """A Python function of a row (a dict), with a declared result; evaluated over Arrow batches."""
 
@@ -48,7 +52,7 @@ class RowFunction:
     def __call__(self, row: Tuple) -> Column:
         body = self.body
         fields = [ref(n).alias(n) for n in row._df.columns]
-        apply = F.udf(lambda r: body(r.asDict(recursive=True) if hasattr(r, "asDict") else dict(r)), self.returns, useArrow=True)
+        apply = F.udf(lambda r: body(plain_row(r)), self.returns, useArrow=True)
         return apply(F.struct(*fields))
 
 
@@ -57,6 +61,41 @@ def row_function(returns: T.DataType | str) -> Callable[[Callable[[dict], Any]],
     return lambda body: RowFunction(body, returns)
 
 
+class GroupFunction:
+    """A Python function of a group (a list of dicts), with a declared result.
+
+    An aggregator for what no expression says: a group becomes one list in one task.
+    """
+
+    def __init__(self, body: Callable[[list[dict]], Any], returns: T.DataType | str) -> None:
+        self.body, self.returns = body, returns
+
+    def __call__(self, group: Tuple) -> Column:
+        body = self.body
+        rows = F.collect_list(F.struct(*[ref(n).alias(n) for n in group._df.columns]))
+        return F.udf(lambda rows: body([plain_row(r) for r in rows]), self.returns, useArrow=True)(rows)
+
+
+def group_function(returns: T.DataType | str) -> Callable[[Callable[[list[dict]], Any]], GroupFunction]:
+    """Decorator: ``@group_function("double")`` over a function of a list of dicts, for ``summarize``."""
+    return lambda body: GroupFunction(body, returns)
+
+
+class ValueFunction:
+    """A Python function of a value, with a declared result; evaluated over Arrow batches."""
+
+    def __init__(self, body: Callable[[Any], Any], returns: T.DataType | str) -> None:
+        self.body, self.returns = body, returns
+
+    def __call__(self, value: Column) -> Column:
+        return F.udf(self.body, self.returns, useArrow=True)(value)
+
+
+def value_function(returns: T.DataType | str) -> Callable[[Callable[[Any], Any]], ValueFunction]:
+    """Decorator: ``@value_function("string")`` over a function of a value, for ``transform``."""
+    return lambda body: ValueFunction(body, returns)
+
+
 Predicate = Mapping[str, Any] | Callable[[Tuple], Any] | Column | str | bool
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tuplewise.functions.aggregates import Aggregator, aggregate
 from tuplewise.functions.predicates import Predicate, condition, extension
 from tuplewise.plans.keys import Keys, Sides
-from tuplewise.plans.values import distinct, family, is_relation_valued, key, keys_of, kinds, plain, ref
+from tuplewise.plans.values import distinct, family, is_relation_valued, key, keys_of, kinds, literal, plain, ref
 
 # filters
 
@@ -55,7 +55,7 @@ def extend(df: DataFrame, extensions: Mapping[str, Any]) -> DataFrame:
 
 
 def constants(df: DataFrame, values: Mapping[str, Any]) -> DataFrame:
-    return extend(df, {n: F.lit(v) for n, v in values.items()})
+    return extend(df, {n: literal(v) for n, v in values.items()})
 
 
 def rename(df: DataFrame, renaming: Mapping[str, str] | Callable[[str], str]) -> DataFrame:
@@ -78,7 +78,10 @@ def suffix(df: DataFrame, text: str, except_: Iterable[str] = ()) -> DataFrame:
 
 
 def transform(df: DataFrame, how: Callable | Sequence[Callable] | Mapping[str, Callable | Sequence[Callable]]) -> DataFrame:
-    """One function, or several in turn, over all values or those of the named attributes."""
+    """One function, or several in turn, over all values or those of the named attributes.
+
+    A function gets a column; a ``value_function`` gets each Python value.
+    """
 
     def applied(value: Column, steps: Callable | Sequence[Callable]) -> Column:
         out = reduce(lambda v, f: f(v), [steps] if callable(steps) else steps, value)
@@ -156,14 +159,28 @@ def left_join(left: DataFrame, right: DataFrame, keys: Keys = None) -> DataFrame
     return join(left, right, keys, "left")
 
 
-def cross_product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs, as a set; on a clash the left one's value is taken."""
-    s = Sides(left, right, [])
-    return distinct(s.left.crossJoin(s.right).select(*s.output(right_wins=False)))
+def _as_set(df: DataFrame, is_set: bool) -> DataFrame:
+    if is_set:
+        return df
+    return distinct(df) if df.columns else df.limit(1)
+
+
+def cross_product(left: DataFrame, right: DataFrame, left_is_set: bool = False, right_is_set: bool = False) -> DataFrame:
+    """All pairs, as a set; on a clash the left one's value is taken.
+
+    The product of sets is a set, so duplicates are looked for in the operands alone.
+    """
+    clash = [n for n in right.columns if n in left.columns]
+    rest = right.select(*[ref(n) for n in right.columns if n not in clash])
+    s = Sides(_as_set(left, left_is_set), _as_set(rest, right_is_set and not clash), [])
+    return s.left.crossJoin(s.right).select(*s.output())
 
 
 def image(left: DataFrame, right: DataFrame, as_: str, keys: Keys = None) -> DataFrame:
-    """Each left row with the relation of its right matches, empty where it has none."""
+    """Each left row with the relation of its right matches, empty where it has none.
+
+    A row holds all its matches: without keys, each holds the whole right relation.
+    """
     s = Sides(left, right, keys)
     nested = F.collect_list(F.struct(*[F.col(s.r_names[n]).alias(n) for n in s.rest])).alias("image")
     if s.pairs:
@@ -200,7 +217,10 @@ def summarize(df: DataFrame, by: Sequence[str], aggregators: Mapping[str, Aggreg
 
 
 def group(df: DataFrame, attrs: Iterable[str], as_: str, allbut: bool = False) -> DataFrame:
-    """Nests the named attributes (or all but these) of the rows that agree on the others."""
+    """Nests the named attributes (or all but these) of the rows that agree on the others.
+
+    A group becomes one row: with all attributes named, the whole relation does.
+    """
     named = set(attrs)
     inner = [n for n in df.columns if (n in named) != allbut]
     by = [n for n in df.columns if n not in inner]

@@ -8,6 +8,9 @@ nested relation as a bag (order-free, duplicates count) and anything else by val
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,20 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def literal(value: Any) -> Column:
+    """A Python value as a column: a dict is a tuple; a list of dicts, or a relation, is a nested relation (null where a tuple lacks an attribute)."""
+    if hasattr(value, "to_array"):
+        value = value.to_array()
+    if isinstance(value, Mapping):
+        return F.struct(*[literal(v).alias(n) for n, v in value.items()])
+    if isinstance(value, list | tuple):
+        if any(isinstance(v, Mapping) for v in value):
+            names = list(dict.fromkeys(n for v in value for n in v))
+            value = [{n: v.get(n) for n in names} for v in value]
+        return F.array(*map(literal, value))
+    return F.lit(value)
+
+
 def family(kind: T.DataType) -> str:
     if isinstance(kind, T.NumericType):
         return "number"

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewise.relation import DEE, DUM, Relation
+from tuplewise.functions.predicates import group_function, row_function, value_function
+from tuplewise.relation import DEE, DUM, Relation, is_relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +67,14 @@ _query("extend", "SELECT *, l_extendedprice * (1 - l_discount) AS net, l_shipdat
     lambda t: t("lineitem").extend({"net": lambda r: r.l_extendedprice * (1 - r.l_discount), "shipped": "l_shipdate"})
 )
 _query("constants", "SELECT * REPLACE ('x' AS n_name), 1 AS one FROM nation")(lambda t: t("nation").constants({"n_name": "x", "one": 1}))
+_query("constants_nested", "SELECT r_regionkey, r_name, 'a' AS first, 2 AS size, 3 AS total FROM region")(
+    lambda t: t("region").constants({"tag": {"name": "a"}, "parts": [{"x": 1}, {"x": 2, "y": None}]})
+    .extend({"first": lambda r: r.tag["name"], "size": lambda r: F.size(r.parts), "total": lambda r: F.aggregate(r.parts, F.lit(0), lambda a, x: a + x["x"])})
+    .allbut(["tag", "parts"])
+)
+_query("extend_python", "SELECT n_nationkey, n_name, n_regionkey, n_name || '/' || n_regionkey AS label FROM nation")(
+    lambda t: t("nation").extend({"label": row_function("string")(lambda r: f"{r['n_name']}/{r['n_regionkey']}")})
+)
 _query("rename", "SELECT r_regionkey AS r_name, r_name AS r_regionkey FROM region")(lambda t: t("region").rename({"r_regionkey": "r_name", "r_name": "r_regionkey"}))
 _query("rename_fn", "SELECT n_nationkey AS N_NATIONKEY, n_name AS N_NAME, n_regionkey AS N_REGIONKEY FROM nation")(lambda t: t("nation").rename(str.upper))
 _query("prefix", "SELECT n_nationkey, n_name AS x_n_name, n_regionkey AS x_n_regionkey FROM nation")(lambda t: t("nation").prefix("x_", ["n_nationkey"]))
@@ -78,6 +87,10 @@ _query("transform_map", "SELECT n_nationkey, lower(trim(n_name)) AS n_name, n_re
     lambda t: t("nation").transform({"n_name": [F.trim, F.lower], "no_such": F.upper})
 )
 
+_query("transform_python", "SELECT n_nationkey, reverse(n_name) || '.' AS n_name, n_regionkey FROM nation")(
+    lambda t: t("nation").transform({"n_name": [value_function("string")(lambda v: v[::-1]), lambda v: F.concat(v, F.lit("."))]})
+)
+
 
 def _buyers(t, low: int, high: int | None = None) -> Relation:
     return t("orders").restrict(lambda r: (r.o_totalprice > low) if high is None else (r.o_totalprice > low) & (r.o_totalprice < high)).project(["o_custkey"])
@@ -91,11 +104,7 @@ _NATIONS = "SELECT n_nationkey AS nationkey, n_name, n_regionkey FROM nation"
 _query("join_natural", f"SELECT s_suppkey, s_name, nationkey, n_name, s_acctbal, n_regionkey FROM (SELECT s_suppkey, s_name, s_nationkey AS nationkey, s_acctbal FROM supplier) JOIN ({_NATIONS}) USING (nationkey)")(
     lambda t: t("supplier").rename({"s_nationkey": "nationkey"}).join(t("nation").rename({"n_nationkey": "nationkey"}))
 )
-_query("join_keys_array", "SELECT s_suppkey, c_custkey, k FROM (SELECT s_suppkey, s_nationkey AS k FROM supplier WHERE s_suppkey <= 20) JOIN (SELECT c_custkey, c_nationkey AS k FROM customer) USING (k)")(
-    lambda t: t("supplier").restrict(lambda r: r.s_suppkey <= 20).project(["s_suppkey", "s_nationkey"]).rename({"s_nationkey": "k"})
-    .join(t("customer").project(["c_custkey", "c_nationkey"]).rename({"c_nationkey": "k"}), ["k"])
-)
-_query("join_keys_array_whole", "SELECT s_suppkey, c_custkey, k FROM (SELECT s_suppkey, s_nationkey AS k FROM supplier) JOIN (SELECT c_custkey, c_nationkey AS k FROM customer) USING (k)")(
+_query("join_keys_array", "SELECT s_suppkey, c_custkey, k FROM (SELECT s_suppkey, s_nationkey AS k FROM supplier) JOIN (SELECT c_custkey, c_nationkey AS k FROM customer) USING (k)")(
     lambda t: t("supplier").project(["s_suppkey", "s_nationkey"]).rename({"s_nationkey": "k"})
     .join(t("customer").project(["c_custkey", "c_nationkey"]).rename({"c_nationkey": "k"}), ["k"])
 )
@@ -168,6 +177,15 @@ _query("summarize_collect", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY
 _query("summarize_custom", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY c_mktsegment")(
     lambda t: t("customer").summarize(["c_mktsegment"], {"spread": lambda g: F.max(g.c_acctbal) - F.min(g.c_acctbal)})
 )
+_query("summarize_python", "SELECT n_regionkey, count(*) AS n, string_agg(n_name, '+' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY n_regionkey")(
+    lambda t: t("nation").summarize(["n_regionkey"], {
+        "n": "count", "names": group_function("string")(lambda rows: "+".join(r["n_name"] for r in sorted(rows, key=lambda r: -r["n_nationkey"]))),
+    })
+)
+_query("cross_product_clash", "SELECT DISTINCT o_orderstatus, o_orderpriority, r_name FROM orders CROSS JOIN region")(
+    lambda t: t("orders").rename({"o_orderkey": "r_regionkey"}).project(["o_orderstatus", "o_orderpriority"])
+    .cross_product(t("region").extend({"o_orderstatus": lambda r: F.lit("?")}).project(["o_orderstatus", "r_name"]))
+)
 _query("summarize_total", "SELECT count(*) AS n FROM lineitem")(lambda t: t("lineitem").summarize([], {"n": "count"}))
 _query("summarize_empty", "SELECT count(*) AS n FROM lineitem WHERE false HAVING count(*) > 0")(lambda t: t("lineitem").restrict(lambda r: F.lit(False)).summarize([], {"n": "count"}))
 _LEFT = f"customer LEFT JOIN {_BIG} ON c_custkey = o_custkey"
@@ -206,3 +224,36 @@ _rows("is_equal", "SELECT true AS same, false AS other", lambda s, t: s.createDa
 )], "same boolean, other boolean"))
 _rows("to_array", "SELECT * FROM region", lambda s, t: s.createDataFrame(t("region").to_array(), "r_regionkey int, r_name string"))
 _rows("to_text", "SELECT '| ' || lpad(CAST(r_regionkey AS VARCHAR), 11) || ' | ' || rpad(r_name, (SELECT greatest(max(length(r_name)), 6)::INT FROM region), ' ') || ' |' AS line FROM region".replace("11)", "11, ' ')"), lambda s, t: s.createDataFrame([(x,) for x in t("region").to_text().splitlines()[3:-1]], "line string"))
+_rows("y_by_x_ordered", "SELECT CAST(n_regionkey AS VARCHAR) AS k, max_by(n_name, n_nationkey) AS v FROM nation GROUP BY n_regionkey", lambda s, t: s.createDataFrame(list(t("nation").y_by_x("n_name", "n_regionkey", "n_nationkey").items()), "k string, v string"))
+_rows("iterate", "SELECT * FROM nation", lambda s, t: s.createDataFrame(list(t("nation")), "n_nationkey int, n_name string, n_regionkey int"))
+_rows("to_relation", "SELECT DISTINCT n_regionkey FROM nation", lambda s, t: t("nation").to_relation().project(["n_regionkey"]).df)
+_rows("is_relation", "SELECT true AS relation, false AS frame, false AS list", lambda s, t: s.createDataFrame([(is_relation(t("nation")), is_relation(t("nation").df), is_relation([]))], "relation boolean, frame boolean, list boolean"))
+
+
+def _unknown(s: SparkSession, t: Callable[[str], Relation]) -> DataFrame:
+    try:
+        t("nation").summarize([], {"x": {"op": "median", "attr": "n_nationkey"}})
+    except ValueError as e:
+        return s.createDataFrame([(str(e),)], "message string")
+    raise AssertionError("an unknown aggregator was accepted")
+
+
+_rows("unknown_aggregator", "SELECT 'Unknown aggregator: median' AS message", _unknown)
+_rows("of_rows", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey > 3 THEN n_regionkey END AS n_regionkey FROM nation", lambda s, t: Relation.of(
+    [r if r["n_nationkey"] > 3 else {k: r[k] for k in ("n_nationkey", "n_name")} for r in t("nation").to_array()], "n_nationkey int, n_name string, n_regionkey int"
+).df)
+
+
+def _pushed(s: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom source's own restriction, over a keyed layout written to the warehouse."""
+    import uuid
+
+    from tuplewise.sources import read_keyed, write_keyed
+
+    top = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/_keyed_{uuid.uuid4().hex}"
+    write_keyed(Relation(s.read.parquet(f"{sf_dir}/customer.parquet")), path, "c_custkey", 8)
+    return read_keyed(s, path, "c_custkey", 8).restrict({"c_custkey": 77}).df
+
+
+QUERIES["source_pushdown"], SQL["source_pushdown"] = _pushed, "SELECT * FROM customer WHERE c_custkey = 77"

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
-from typing import Any
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from typing import Any, TypeAlias
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuplewise import text
+from tuplewise.functions.aggregates import Aggregator
+from tuplewise.functions.predicates import Predicate
 from tuplewise.operators import frames
+from tuplewise.plans.keys import Keys
 from tuplewise.plans.values import ref
 
 
+#: what operators take as another operand
+Operand: TypeAlias = "Relation | DataFrame | Sequence[Mapping[str, Any]]"
+
+
 def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
@@ -101,12 +108,12 @@ class Relation:
         return Relation(df, is_set)
 
     # filters
-    def restrict(self, predicate) -> "Relation":
+    def restrict(self, predicate: Predicate) -> "Relation":
         return self._with(frames.restrict(self.df, predicate), self.is_set)
 
     where = restrict
 
-    def exclude(self, predicate) -> "Relation":
+    def exclude(self, predicate: Predicate) -> "Relation":
         return self._with(frames.exclude(self.df, predicate), self.is_set)
 
     # projection, extension, renaming
@@ -122,7 +129,7 @@ class Relation:
     def constants(self, values: Mapping[str, Any]) -> "Relation":
         return self._with(frames.constants(self.df, values), self.is_set and not set(values) & set(self.df.columns))
 
-    def rename(self, renaming) -> "Relation":
+    def rename(self, renaming: Mapping[str, str] | Callable[[str], str]) -> "Relation":
         out = frames.rename(self.df, renaming)
         return self._with(out, self.is_set and len(out.columns) == len(self.df.columns))
 
@@ -132,42 +139,42 @@ class Relation:
     def suffix(self, text_: str, except_: Iterable[str] = ()) -> "Relation":
         return self._with(frames.suffix(self.df, text_, except_))
 
-    def transform(self, how) -> "Relation":
+    def transform(self, how: Callable | Sequence[Callable] | Mapping[str, Callable | Sequence[Callable]]) -> "Relation":
         return self._with(frames.transform(self.df, how))
 
     # set operators
-    def union(self, other) -> "Relation":
+    def union(self, other: Operand) -> "Relation":
         return self._with(frames.union(self.df, frame(other)), True)
 
-    def minus(self, other) -> "Relation":
+    def minus(self, other: Operand) -> "Relation":
         return self._with(frames.minus(self.df, frame(other), self.is_set), True)
 
-    def intersect(self, other) -> "Relation":
+    def intersect(self, other: Operand) -> "Relation":
         return self._with(frames.intersect(self.df, frame(other), self.is_set), True)
 
     # joins
-    def matching(self, other, keys=None) -> "Relation":
+    def matching(self, other: Operand, keys: Keys = None) -> "Relation":
         return self._with(frames.matching(self.df, frame(other), keys), self.is_set)
 
-    def not_matching(self, other, keys=None) -> "Relation":
+    def not_matching(self, other: Operand, keys: Keys = None) -> "Relation":
         return self._with(frames.not_matching(self.df, frame(other), keys), self.is_set)
 
-    def join(self, other, keys=None) -> "Relation":
+    def join(self, other: Operand, keys: Keys = None) -> "Relation":
         return self._with(frames.join(self.df, frame(other), keys))
 
-    def left_join(self, other, keys=None) -> "Relation":
+    def left_join(self, other: Operand, keys: Keys = None) -> "Relation":
         return self._with(frames.left_join(self.df, frame(other), keys))
 
-    def cross_product(self, other) -> "Relation":
-        return self._with(frames.cross_product(self.df, frame(other)), True)
+    def cross_product(self, other: Operand) -> "Relation":
+        return self._with(frames.cross_product(self.df, frame(other), self.is_set, isinstance(other, Relation) and other.is_set), True)
 
     cross_join = cross_product
 
-    def image(self, other, as_: str, keys=None) -> "Relation":
+    def image(self, other: Operand, as_: str, keys: Keys = None) -> "Relation":
         return self._with(frames.image(self.df, frame(other), as_, keys))
 
     # grouping and nesting
-    def summarize(self, by: Sequence[str], aggregators: Mapping[str, Any]) -> "Relation":
+    def summarize(self, by: Sequence[str], aggregators: Mapping[str, Aggregator]) -> "Relation":
         return self._with(frames.summarize(self.df, by, aggregators))
 
     def group(self, attrs: Iterable[str], as_: str, allbut: bool = False) -> "Relation":
@@ -204,10 +211,15 @@ class Relation:
     def __iter__(self) -> Iterator[dict[str, Any]]:
         return (r.asDict(recursive=True) for r in self.df.toLocalIterator())
 
-    def y_by_x(self, y: str, x: str) -> dict[str, Any]:
-        return {text.as_key(r[0]): _native(r[1]) for r in self.df.select(ref(x), ref(y)).collect()}
+    def y_by_x(self, y: str, x: str, order: str | Sequence[str] | None = None) -> dict[str, Any]:
+        """Values of ``y`` by those of ``x``; of several the last in the ``order`` of some attributes, or else any one."""
+        pairs = self.df.select(ref(x), ref(y))
+        if order is not None:
+            by = F.struct(*map(ref, [order] if isinstance(order, str) else order))
+            pairs = self.df.groupBy(ref(x).alias("x")).agg(F.max_by(F.struct(ref(y)), by).alias("last")).select("x", F.col("last")[y])
+        return {text.as_key(r[0]): _native(r[1]) for r in pairs.collect()}
 
-    def is_equal(self, other) -> bool:
+    def is_equal(self, other: Operand) -> bool:
         """Whether both are the same set of tuples; all empty relations are equal."""
         right = frame(other)
         empty = lambda df: not df.limit(1).count()
