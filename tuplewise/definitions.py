@@ -12,7 +12,7 @@ from tuplewise.relation import Operand, Relation
 
 
 def _shown(annotation: object) -> str:
-    return annotation.replace('"', "") if isinstance(annotation, str) else inspect.formatannotation(annotation)
+    return annotation.strip("'\"") if isinstance(annotation, str) else inspect.formatannotation(annotation)
 
 
 def _line(name: str, function: Callable) -> str:
