@@ -14,14 +14,15 @@ the labels (``TARGET`` ids, those of the smallest hash), so the counting pass lo
 them up map-side and no text is shuffled.  A second pass scores all texts against the
 broadcast log ratios (``BUCKETS`` numbers).  The k-th largest noisy weight is found by
 counting: 2**16 cells of the key's leading bits, then of the next ones within the cell
-that holds rank k.  No sort, and no list of documents anywhere.
+that holds rank k; of equal keys at rank k the rest is drawn in the same way by a hash of
+doc_id and text.  No sort, and no list of documents anywhere.
 
 The noise is a hash of the seed and the doc_id, so results don't depend on tasks.
 
 Defined results: a null, empty or wordless text has weight 0 (log), as any text of no
 evidence; null doc_ids draw the noise of the text 'null'; repeated rows are rows of
-their own, of equal noise; ties at rank k are all drawn; without labels of good
-quality all weights are 0, and without labels all documents are drawn; extra columns are ignored; an
+their own, of equal noise, and are drawn together (only then more than k are); without
+labels of good quality all weights are 0, and without labels all documents are drawn; extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -120,15 +121,21 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
             for row, to, words in kernel.words_of(batch.column(1), kernel.SPACE_WORDS, True):
                 where, bucket = _buckets(words)
                 weight = np.bincount(where, weights=table[bucket], minlength=to - row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(np.diff(words.first)), pa.array(weight)], names=["doc_id", "n_words", "log_weight"])
+                own = [batch.column(k).slice(row, to - row) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(np.diff(words.first)), pa.array(weight), own[1]], names=["doc_id", "n_words", "log_weight", "tie"])
 
-    weighed = rows.mapInArrow(weigh, "doc_id long, n_words long, log_weight double")
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 24).alias("tie")
+    weighed = rows.select("doc_id", "text", tie).mapInArrow(weigh, "doc_id long, n_words long, log_weight double, tie long")
     key = F.round((F.col("log_weight") + gumbel(seed, F.col("doc_id"))) * _STEPS).cast("long")
     weighed = cut(weighed.withColumn("sampling_key", key))
     n = weighed.count()
     if not n:
-        return weighed.withColumn("kept", F.lit(True))
+        return weighed.drop("tie").withColumn("kept", F.lit(True))
     if share is None:
         share = labels.agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0] or 1.0
-    limit = key_at_rank(weighed, "sampling_key", max(1, round(share * n)))
-    return weighed.withColumn("kept", F.col("sampling_key") >= limit)
+    k = max(1, round(share * n))
+    limit = key_at_rank(weighed, "sampling_key", k)
+    above = F.col("sampling_key") > limit
+    tied = weighed.filter(F.col("sampling_key") == limit)
+    at = key_at_rank(tied, "tie", k - weighed.filter(above).count())
+    return weighed.withColumn("kept", above | ((F.col("sampling_key") == limit) & (F.col("tie") >= at))).drop("tie")
