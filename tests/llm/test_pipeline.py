@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 from collections import Counter
 
 import pytest
 import sentencepiece
 
 import corpus_pipeline
+from tuplewise.llm import common
 from tuplewise.llm.queries import model_path
 
 DATA = "/root/testdata/sf0.001"
@@ -146,6 +148,14 @@ def test_rows_are_judged_one_by_one(spark, odd):
     assert sum(got.values()) >= 400
 
 
+def test_a_run_leaves_its_result_alone(spark, stages, tmp_path, monkeypatch):
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda s: f"{tmp_path}/{uuid.uuid4().hex}")
+    got = corpus_pipeline.run(spark, DATA)
+    left = [p for p in tmp_path.rglob("*") if p.is_dir() and any(x.suffix == ".parquet" for x in p.iterdir())]
+    assert [p.name for p in left] == ["4"] and {r.doc_id for r in got.collect()} == set(rows(stages[5]))
+
+
 def test_empty_tables(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd.limit(0), DATA)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tuplewise.llm import near_duplicates as near
+from tuplewise.llm import pieces
 from tuplewise.llm import quality_rules as quality
 from tuplewise.llm import substring_dedup as sub
 from tuplewise.llm.decontaminate import decontaminate
@@ -136,7 +137,7 @@ def test_pieces_and_counts(spark, corpus):
     assert encode_decode(empty(spark), model_path()).count() == token_counts(empty(spark), model_path()).count() == 0
 
 
-def test_streaming_viterbi():
+def test_streaming_viterbi(monkeypatch):
     import sentencepiece
 
     library, own, rnd = sentencepiece.SentencePieceProcessor(model_file=model_path()), Encoder(model_path()), random.Random(4)
@@ -146,6 +147,10 @@ def test_streaming_viterbi():
         ids = library.encode(text)
         seen = "▁" + text.replace(" ", "▁") if text else ""
         assert own.encode(text).tolist() == ids and list(own.stream(seen[i : i + 5] for i in range(0, len(seen), 5))) == ids
+    monkeypatch.setattr(pieces, "CHUNK", 7)
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80)))
+        assert own.encode(text).tolist() == library.encode(text) and len(list(own.chunks("a b\nc d" * 9))) > 3
     long = "abcdeinorst" * 500
     assert list(own.stream(["▁" + long])) == library.encode(long)
 

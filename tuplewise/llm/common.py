@@ -23,25 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds a batch that goes to Python, so that a run of long texts stays small.
 
-    Also lets Python workers on this machine find the package wherever the driver
+    These are settings of the session, read when a query runs, so they stay.  With a
+    local master, Python workers also learn where the package is, wherever the driver
     was started; clusters get it as any other library.
     """
-    own = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if own not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), own])
+    if spark.sparkContext.master.startswith("local"):
+        own = str(Path(__file__).resolve().parents[2])
+        paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+        if own not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), own])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
+    """A new folder below the one that the cluster shares: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only where that setting is missing, as in tests on one machine, a folder
-    below the warehouse takes its place.
+    Only where neither is set, as in tests on one machine, a folder below the
+    warehouse takes its place.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
-    top = top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tuplewise"
+    if not top:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = given.get() if given.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tuplewise"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -59,15 +63,21 @@ def cut(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     The lineage ends there; a lost executor costs a reread, never a recomputation.
-    Within ``temporary`` the table goes at the block's end, unless it is ``lasting``.
+    Within ``temporary`` the table goes at the block's end; a ``lasting`` one goes with
+    the block around that, if there is one.
     """
     path = shared_folder(df.sparkSession)
-    if _open.blocks and not lasting:
-        _open.blocks[-1].append(path)
+    for block in _open.blocks[: -1 if lasting else None][-1:]:
+        block.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes what is ``cut`` within, once nothing reads it any more: what leaves the block must be lasting."""
@@ -76,8 +86,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open.blocks.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -13,8 +13,9 @@ all that is kept, and ids are committed up to the boundary on which the paths
 from all boundaries of the window converge.  Results equal the library's.
 
 Between two characters that no piece holds side by side, all paths converge at
-once.  ``Encoder.encode`` cuts texts there (words, runs of spaces, line ends) and
-keeps the ids of recent short stretches, so the lattice is built for new ones only.
+once.  ``Encoder.encode`` cuts texts there (words, runs of spaces, line ends), some ten
+thousand characters at a time, and keeps the ids of recent short stretches, so the
+lattice is built for new ones only.
 
 Decoding joins the bytes of the pieces, byte pieces included, and drops the space
 that encoding puts before a text.  A text returns unchanged, save that the
@@ -43,6 +44,8 @@ from tuplewise.llm.common import fresh, small_batches
 SPACE = "▁"
 #: stretches of text that a worker remembers, twice over; longer ones than KEPT_CHARS are not remembered
 KEPT, KEPT_CHARS = 1 << 18, 64
+#: characters of a long text that are cut into stretches at once, to the next place where paths converge
+CHUNK = 1 << 16
 
 
 class Recent(dict):
@@ -89,6 +92,7 @@ class Encoder:
         together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         cuts = not any(a != SPACE == b for a, b in together) and not any("\n" in pair for pair in together)
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if cuts else r"(?s:.+)").findall
+        self.cut = re.compile(f"\n|(?<=[^{SPACE}\n])(?={SPACE})" if cuts else r"(?s:\Z)").search
         self.pairs = Recent(lambda pair: self.merge(pair[0] + pair[1]) == [p for p in pair if p])
         self.recent = Recent(lambda text: array("i", self.stream([text])).tobytes())
 
@@ -147,12 +151,21 @@ class Encoder:
             to -= len(piece)
         return list(chain.from_iterable(reversed(out)))
 
-    def stretches(self, text: str) -> list[str]:
-        """The text with its leading space and visible spaces, cut where all paths converge."""
-        return self.stretch(SPACE + text.replace(" ", SPACE)) if text else []
+    def chunks(self, text: str) -> Iterator[str]:
+        """The text with its leading space and visible spaces, in runs of about CHUNK characters that end where all paths converge."""
+        text, start = SPACE + text.replace(" ", SPACE) if text else "", 0
+        while len(text) - start > CHUNK and (found := self.cut(text, start + CHUNK)):
+            yield text[start : found.end()]
+            start = found.end()
+        yield text[start:]
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """The text, cut where all paths converge."""
+        return chain.from_iterable(map(self.stretch, self.chunks(text)))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.recent.__getitem__, self.stretches(text))), dtype=np.int32)
+        parts = [b"".join(map(self.recent.__getitem__, self.stretch(chunk))) for chunk in self.chunks(text)]
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The texts of runs ``ids[offsets[i]:offsets[i + 1]]``, as an Arrow binary column."""

@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
         own, first, second = encoder(model), table.value, _memory(model)
         for batch in batches:
             texts = batch.column(1)
-            parts = [own.stretches(t) for t in texts.to_pylist()]
+            parts = [list(own.stretches(t)) for t in texts.to_pylist()]
             rare = set(chain.from_iterable(parts)).difference(first)
             new = [s for s in rare if s not in second and s not in second.old]
             fresh = dict(zip(new, lengths(model, new), strict=True))
