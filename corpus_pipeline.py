@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewise.llm.common import cut, fresh, shared_folder, table
+from tuplewise.llm.common import cut, fresh, remove, shared_folder, table, temporary
 from tuplewise.llm.decontaminate import decontaminate
 from tuplewise.llm.near_duplicates import near_duplicates
 from tuplewise.llm.pieces import encode_decode
@@ -85,11 +85,18 @@ ORACLE_SQL: str | None = None  # SQL has no covariance estimates by concentratio
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet and read back for the next."""
+    """Applies the stages to documents; each result is written as Parquet and read back for the next.
+
+    What a stage has written on its way, and what the one before it has returned, go
+    once its own result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark)
+    folder, before = shared_folder(spark), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
