@@ -145,6 +145,12 @@ def _flat(attr: str, field: str):
 _query("image", f"SELECT c_custkey, count(o_orderkey) AS size, coalesce(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS total FROM customer LEFT JOIN {_BIG} ON c_custkey = o_custkey GROUP BY c_custkey")(
     lambda t: t("customer").project(["c_custkey"]).image(_big(t), "orders", {"c_custkey": "o_custkey"}).extend(_flat("orders", "o_totalprice")).rename({}).project(["c_custkey", "size", "total"])
 )
+_query("image_rows", f"SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN {_BIG} ON c_custkey = o_custkey")(
+    lambda t: t("customer").project(["c_custkey"]).image(_big(t), "orders", {"c_custkey": "o_custkey"}).ungroup("orders")
+)
+_query("group_rows", "SELECT n_regionkey, '[' || string_agg('{\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_name) || ']' AS nations FROM nation GROUP BY n_regionkey")(
+    lambda t: t("nation").project(["n_regionkey", "n_name"]).group(["n_name"], "nations").transform({"nations": lambda v: F.to_json(F.sort_array(v))})
+)
 _GROUP = "SELECT o_custkey, count(*) AS size, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY o_custkey"
 _query("group", _GROUP)(
     lambda t: t("orders").group(["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "orders").extend(_flat("orders", "o_totalprice")).project(["o_custkey", "size", "total"])
