@@ -11,7 +11,8 @@ wait on a cycle have a null level and an error.
 
 Levels are found by blocks: a block holds a conversation's calls of ``BLOCK_TURNS``
 turns, or, where these are more than ``BLOCK_CALLS``, a part of them by hash.  A task
-settles all calls of a block that wait for nothing outside it; what blocks have
+settles all calls of a block that wait for nothing outside it (small blocks share a
+bin of about ``BLOCK_CALLS`` dependencies, and settle together); what blocks have
 settled then reaches the others, and unsettled blocks go again.  Rounds follow the
 number of blocks that a chain crosses and come back to (one for conversations of
 ordinary size), not its length, and no task holds more than a block, so a
@@ -48,6 +49,8 @@ from pyspark.sql import functions as F
 from tuplewise.llm.common import cut, small_batches
 
 BLOCK_TURNS, BLOCK_CALLS = 4096, 1 << 16
+#: bins at least, so that small tables use several tasks
+BINS = 32
 MAX_DEPTH = 100
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 _LONE = re.compile("[\ud800-\udfff]")
@@ -156,16 +159,17 @@ def _serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(key: tuple[pa.Scalar, ...], edges: pa.Table) -> pa.Table:
-    """Levels of the calls of one block that wait for nothing that isn't settled, from its edges (call_id, dep, dep_level)."""
-    names, deps, levels = (edges[c].to_pylist() for c in ("call_id", "dep", "dep_level"))
-    waits: dict[str, int] = {}
-    least: dict[str, int] = {}
-    users: dict[str, list[str]] = {}
-    for call, dep, level in zip(names, deps, levels, strict=True):
+    """Levels of the calls of one bin that wait for nothing that isn't settled, from their edges (conv_id, call_id, dep, dep_level)."""
+    conversations, names, deps, levels = (edges[c].to_pylist() for c in ("conv_id", "call_id", "dep", "dep_level"))
+    waits: dict[tuple[str, str], int] = {}
+    least: dict[tuple[str, str], int] = {}
+    users: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for conv, name, dep, level in zip(conversations, names, deps, levels, strict=True):
+        call = conv, name
         waits.setdefault(call, 0)
         if level is None:
             waits[call] += 1
-            users.setdefault(dep, []).append(call)
+            users.setdefault((conv, dep), []).append(call)
         else:
             least[call] = max(least.get(call, 0), level + 1)
     out, ready = {}, [c for c, n in waits.items() if not n]
@@ -177,7 +181,8 @@ def _settled(key: tuple[pa.Scalar, ...], edges: pa.Table) -> pa.Table:
             waits[user] -= 1
             if not waits[user]:
                 ready.append(user)
-    return pa.table({"conv_id": pa.array([key[0].as_py()] * len(out), pa.string()), "call_id": pa.array(list(out), pa.string()), "level": pa.array(list(out.values()), pa.int32())})
+    columns = {"conv_id": [c for c, _ in out], "call_id": [n for _, n in out]}
+    return pa.table({k: pa.array(v, pa.string()) for k, v in columns.items()} | {"level": pa.array(list(out.values()), pa.int32())})
 
 
 def _levels(edges: DataFrame) -> DataFrame:
@@ -186,18 +191,20 @@ def _levels(edges: DataFrame) -> DataFrame:
     block = F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS)
     calls = cut(edges.groupBy(*ids).agg(F.min(block).alias("block")))
     sizes = calls.groupBy("conv_id", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CALLS).alias("parts"))
-    placed = calls.join(sizes, ["conv_id", "block"]).select(*ids, "block", F.pmod(F.xxhash64("call_id"), F.col("parts")).alias("part"))
+    part = F.pmod(F.xxhash64("call_id"), F.col("parts"))
+    bins = max(BINS, -(-edges.count() // BLOCK_CALLS))
+    placed = calls.join(sizes, ["conv_id", "block"]).select(*ids, F.pmod(F.xxhash64("conv_id", "block", part), F.lit(bins)).alias("bin"))
     open_ = edges.select(*ids, "dep").join(placed, ids)
     waits = calls.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("waits"))
     level = F.when(F.col("waits").isNull(), F.lit(0)).alias("dep_level")  # what waits for nothing is of level 0
-    open_ = cut(open_.join(waits, ["conv_id", "dep"], "left").select(*ids, "block", "part", "dep", level))
+    open_ = cut(open_.join(waits, ["conv_id", "dep"], "left").select(*ids, "bin", "dep", level))
     settled = None
     while True:
-        new = open_.groupBy("conv_id", "block", "part").applyInArrow(_settled, "conv_id string, call_id string, level int")
+        new = open_.groupBy("bin").applyInArrow(_settled, "conv_id string, call_id string, level int")
         new = cut(new)
         settled = new if settled is None else cut(settled.union(new))
         left = open_.join(new.select(*ids), ids, "left_anti").join(new.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("own")), ["conv_id", "dep"], "left")
-        open_ = cut(left.select(*ids, "block", "part", "dep", F.coalesce("dep_level", "own").alias("dep_level")))
+        open_ = cut(left.select(*ids, "bin", "dep", F.coalesce("dep_level", "own").alias("dep_level")))
         # blocks go again only if what was settled is news to an unsettled one
         if not new.limit(1).count() or not open_.limit(1).count():
             return calls.select(*ids).join(settled, ids, "left")
