@@ -71,6 +71,11 @@ class Recent(dict):
                 self[key] = value
 
 
+    def forget(self) -> None:
+        """Drops the older generation: what a worker holds between tasks."""
+        self.old = {}
+
+
 class Encoder:
     """A SentencePiece byte-pair model with byte fallback, read from ``path``."""
 
@@ -212,6 +217,8 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             columns = [*batch.columns[:-1], listed, pa.array(np.diff(offsets), pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ids", "n_tokens", "round_trip"])
+        own.recent.forget()
+        own.pairs.forget()
 
     return docs.mapInArrow(run, schema)
 

@@ -129,5 +129,6 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
             n_bytes = pc.cast(pc.binary_length(sizes), pa.int64())
             over = pa.array([n > limit for n in tokens], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(tokens, pa.int64()), over], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        second.forget()
 
     return rows.mapInArrow(count, _COUNTS)
