@@ -159,12 +159,17 @@ def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
         "_lang", "_source",
         F.when(~small, own).when(F.col("_pool") >= min_group, F.to_json(F.array("_lang"))).otherwise("[]").alias("_grp"),
     )
-    return _beside(named, cut(keys), ["_lang", "_source"]).drop("_lang", "_source")
+    keys = cut(keys)
+    return _beside(named, keys, ["_lang", "_source"], _few(keys)).drop("_lang", "_source")
 
 
-def _beside(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with the columns of a stored ``table`` of groups: its one row or few rows of the same ``by``."""
-    if table.count() <= BROADCAST_GROUPS:
+def _few(table: DataFrame) -> bool:
+    return table.count() <= BROADCAST_GROUPS
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """``rows`` with the columns of a ``table`` of groups: its one row, or few rows, of the same ``by``; ``few``: the table may be broadcast."""
+    if few:
         return rows.join(F.broadcast(table), by)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*by, "_salt"]).drop("_salt")
@@ -211,9 +216,9 @@ def _log_det(p: int) -> Column:
     return sum((2 * F.log(F.col(f"_l{i}_{i}")) for i in range(1, p)), 2 * F.log(F.col("_l0_0"))).alias("_det")
 
 
-def _distances(rows: DataFrame, estimate: DataFrame, names: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+def _distances(rows: DataFrame, estimate: DataFrame, names: list[str], few: bool, more: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with the squared Mahalanobis distance ``distance2`` from their group's estimates, and the columns ``more`` of these."""
-    out = _beside(rows, estimate, ["_grp"])
+    out = _beside(rows, estimate, ["_grp"], few)
     p = len(names)
     for i in range(p):
         left = F.col(names[i]) - F.col(f"_m{i}")
@@ -228,7 +233,7 @@ def _starts(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame
     """Three estimates for each group: _grp, _start, mean and Cholesky factor, _det."""
     p = len(names)
     middle = cut(_medians(rows, [F.col(n) for n in names], "_m"))
-    spread = _medians(_beside(rows, middle, ["_grp"]), [F.abs(F.col(n) - F.col(f"_m{i}")) for i, n in enumerate(names)], "_d")
+    spread = _medians(_beside(rows, middle, ["_grp"], _few(middle)), [F.abs(F.col(n) - F.col(f"_m{i}")) for i, n in enumerate(names)], "_d")
     plain = middle.join(spread, "_grp")
     scaled = lambda start, own: plain.withColumns({"_start": F.lit(start)} | {f"_l{i}_{j}": own(i) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)})
     both = scaled(0, lambda i: F.lit(floors[i])).unionByName(scaled(1, lambda i: F.greatest(1.4826 * F.col(f"_d{i}"), F.lit(floors[i]))))
@@ -245,10 +250,11 @@ def mcd_estimates(rows: DataFrame, features: dict[str, float], h: float = H, ste
     rows = rows.select("_grp", *names)
     cell = F.floor(F.log1p(F.col("distance2")) * _CELLS).cast("long")
     estimate = cut(_starts(rows, names, floors))
+    few = _few(estimate)  # of three starts; later there are fewer
     for turn in range(TRIAL + steps):
-        near = _distances(rows, estimate, names, ("_start",)).withColumn("_cell", cell)
-        limit = cut(estimate.join(_at_share(near, ["_grp", "_start"], "_cell", h), ["_grp", "_start"]))
-        kept = _distances(rows, limit, names, ("_start", "_at")).filter(cell <= F.col("_at"))
+        near = _distances(rows, estimate, names, few, ("_start",)).withColumn("_cell", cell)
+        limit = estimate.join(_at_share(near, ["_grp", "_start"], "_cell", h), ["_grp", "_start"])
+        kept = _distances(rows, limit, names, few, ("_start", "_at")).filter(cell <= F.col("_at"))
         step = _factored(_sums(kept, names, "_grp", "_start"), floors, factor)
         if turn < TRIAL - 1:
             estimate = cut(step)
@@ -272,7 +278,7 @@ def mcd_distances(rows: DataFrame, features: dict[str, float], h: float = H, ste
     rows = cut(_grouped(rows, min_group))
     with temporary(rows.sparkSession):
         estimate = cut(mcd_estimates(rows, features, h, steps), lasting=True)
-    return _distances(rows, estimate, list(features)).drop("_grp")
+    return _distances(rows, estimate, list(features), _few(estimate)).drop("_grp")
 
 
 def quality_rules(docs: DataFrame, h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
