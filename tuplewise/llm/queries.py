@@ -89,7 +89,7 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     results = turns.filter("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = spark.createDataFrame([("reply", REPLY_SCHEMA)], "name string, schema string")
-    return link_tool_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", "; "))
+    return link_tool_calls(calls, results, schemas).withColumns({"errors": F.array_join("errors", "; "), "level": F.col("level").cast("long")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ WITH RECURSIVE call AS (
     coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') AS result
   FROM judged c FULL JOIN answer a ON a.conv_id = c.conv_id AND a.id = c.id
 )
-SELECT CAST(conv_id AS VARCHAR) AS conv_id, call_id, CAST(level AS INTEGER) AS level, turn, status, called AND errors = '' AS valid, errors,
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, call_id, CAST(level AS BIGINT) AS level, turn, status, called AND errors = '' AS valid, errors,
   '{"after":' || after || ',"arguments":' || arguments || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
     || ',"result":' || result || ',"status":"' || status || '"}' AS json
 FROM linked
