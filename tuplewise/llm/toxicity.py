@@ -12,7 +12,7 @@ dictionaries counts.
 
 Calibration is cross-fitted: features of a part come from dictionaries, ordinary and
 toxic, trained without it.  Sizes, segment lengths, features and the number of parts were
-chosen by cross-validation within the training folds; no held-out label took part.
+chosen by cross-validation within the training folds.
 
 Only the labelled sample is bounded: ``SAMPLE`` documents of each label, those of the
 smallest hash of their ids, or as many of them as have ``SAMPLE_BYTES`` of text together
