@@ -15,7 +15,7 @@ settles all calls of a block that wait for nothing outside it (small blocks shar
 bin of about ``BLOCK_CALLS`` dependencies, and settle together); what blocks have
 settled then reaches the others, and unsettled blocks go again.  Rounds follow the
 number of blocks that a chain crosses and come back to (one for conversations of
-ordinary size), not its length, and no task holds more than a block, so a
+ordinary size), not its length, and no task holds more than a bin of some blocks, so a
 conversation may be as long as it likes.  Of several calls (results) of one
 identifier the one of the earliest turn counts, then the smallest text; minima
 combine map-side.
