@@ -99,7 +99,7 @@ class Encoder:
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if cuts else r"(?s:.+)").findall
         self.cut = re.compile(f"\n|(?<=[^{SPACE}\n])(?={SPACE})" if cuts else r"(?s:\Z)").search
         self.pairs = Recent(lambda pair: self.merge(pair[0] + pair[1]) == [p for p in pair if p])
-        self.recent = Recent(lambda text: array("i", self.stream([text])).tobytes())
+        self.recent = Recent(self._encoded)
 
     def merge(self, text: str) -> list[str]:
         """Merges a few characters: best score first, of equals the leftmost."""
@@ -117,12 +117,18 @@ class Encoder:
         Just one piece ends the encoding of a prefix, so the order of trial doesn't matter.
         """
         known, stable = self.ids, self.pairs
-        for at in range(len(last), len(text) + 1):
-            before = at - 1
-            piece = text[before:at]
-            while not ((piece in known or at - before == 1) and stable[last[before], piece]):
+        seen = stable.get
+        for before in range(len(last) - 1, len(text)):
+            at = before + 1
+            piece = text[before]  # a character on its own may end an encoding, known or not
+            pair = last[before], piece
+            fits = seen(pair)
+            while not (stable[pair] if fits is None else fits):
                 before -= 1
-                piece = text[before:at]
+                while (piece := text[before:at]) not in known:
+                    before -= 1
+                pair = last[before], piece
+                fits = seen(pair)
             last.append(piece)
 
     def stream(self, chunks) -> Iterator[int]:
@@ -138,6 +144,14 @@ class Encoder:
                 self._extend(text, last)
         yield from self._ids(last, len(text))
 
+    def _encoded(self, text: str) -> bytes:
+        """The ids of a stretch; a short one is all window."""
+        if len(text) > 4 * self.longest:
+            return array("i", self.stream([text])).tobytes()
+        last = [""]
+        self._extend(text, last)
+        return array("i", self._ids(last, len(text))).tobytes()
+
     def _converged(self, last: list[str]) -> int:
         """The last boundary that the paths from all boundaries of the window share."""
         at = set(range(max(0, len(last) - self.longest), len(last)))
@@ -148,13 +162,17 @@ class Encoder:
         return at.pop()
 
     def _ids(self, last: list[str], to: int) -> list[int]:
-        out: list[list[int]] = []
+        out: list[int] = []
+        known = self.ids.get
         while to:
             piece = last[to]
-            known = self.ids.get(piece)
-            out.append([known] if known is not None else [self.byte_ids[b] for b in piece.encode()])
+            if (own := known(piece)) is not None:
+                out.append(own)
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(piece.encode()))
             to -= len(piece)
-        return list(chain.from_iterable(reversed(out)))
+        out.reverse()
+        return out
 
     def chunks(self, text: str) -> Iterator[str]:
         """The text with its leading space and visible spaces, in runs of about CHUNK characters that end where all paths converge."""
